@@ -221,10 +221,18 @@ def _logistic(rows: list[tuple[int, float]]) -> tuple[float, float]:
         return 1.0, -3.0
     y, e = np.array(rows, float).T
     x = np.stack([np.minimum(e, 20.0), np.ones_like(e)])
-    w, pull, start = np.array([1.0, -3.0]), np.array([1.0, 0.1]), np.array([1.0, -3.0])
+    start, pull = np.array([1.0, -3.0]), np.array([1.0, 0.1])
+
+    def loss(w):
+        z = w @ x
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * pull @ (w - start) ** 2)
+
+    w = start
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.diag(pull), x @ (p - y) + pull * (w - start))
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-6:  # damped: the curve flattens out
+            step = step / 2
         w = w - step
     return float(max(0.2, w[0])), float(min(0.0, w[1]))
 
