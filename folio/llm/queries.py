@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.decontaminate import op6_decontamination, op6_sql
 from folio.llm.langid import op2_language_id
+from folio.llm.pii import op3_pii_surrogates
 from folio.llm.sharding import op10_sharding
+from folio.llm.syncmers import op8_syncmer_fingerprints
 from folio.llm.tokens import op9_token_counts
 from folio.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
