@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.decontaminate import op6_decontamination, op6_sql
+from folio.llm.jaccard_join import op1_ngram_jaccard_join
 from folio.llm.langid import op2_language_id
 from folio.llm.pii import op3_pii_surrogates
 from folio.llm.sharding import op10_sharding
@@ -15,6 +16,7 @@ from folio.llm.tokens import op9_token_counts
 from folio.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op4_toxicity": op4_toxicity,
