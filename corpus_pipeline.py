@@ -1,21 +1,80 @@
-"""From raw documents to mixed shards in five stages, each one operator of folio.llm."""
+"""From raw documents to mixed shards in five stages, each one operator of folio.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept. Null and empty texts
+pass through: they are not toxic, copy nothing, hold no benchmark words and have the prior as domain.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
+from folio.runtime import drop_stash, stash, table
+
+#: The token shares that the mixing stage aims at; it repeats documents, and drops none.
+WEIGHTS = {"high": 0.9, "low": 0.1}
+#: Ids up to which the ids to drop are broadcast (a few dozen bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.7."""
+    scored = toxicity.score(docs, toxicity.learned(spark, sf_dir))
+    return scored.where(F.col("toxicity") < 0.7).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similarity 0.8 or more join, the one of the least id.
+
+    Where ids repeat or are null, a text stands for its rows, and the least row of each text stays.
+    """
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    key = F.col("doc_id") if n == ids else F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_key", key)
+    classes = jaccard_join.similar(keyed.select("_key", "text"), row_id="_key")
+    gone = stash(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_key")).distinct(), "copies")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_key", "left_anti")
+    if n != ids:
+        worded = F.coalesce("text", F.lit("")) != ""
+        kept = kept.where(worded).dropDuplicates(["_key"]).unionByName(kept.where(~worded))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
-STAGES: list = []
 
-#: SQL can't express the learned and the randomised stages.
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its rate, at least once, says."""
+    model = mixing.fit(docs, mixing.quality_domains(table(spark, sf_dir, "labels")))
+    return mixing.repeat(mixing.mix(docs, model, WEIGHTS, least=1.0), docs.columns)
+
+
+def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and slot."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("sharding", to_shards),
+]
+
+#: SQL can't express the learned stages and the random paths; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folio.runtime import stash, table
-
+    """All stages over the documents of ``sf_dir``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stash(docs, f"stage-{k}")
+            docs = stash(docs, f"stage{k}-{name}")
+            drop_stash(before)
     return docs
