@@ -6,8 +6,8 @@ is known by a pool: the POOL least hashes of its set, whose overlap follows the
 A run starts with all sets in one bucket. A bucket is split by tokens: a set goes on to every token of its
 pool that a hash of the run and the path so far picks, on average 1/LAMBDA tokens, so that similar sets
 mostly go on together along some path and others part. Buckets of one set end; those up to LIMIT are
-brute-forced on the pools; in a larger one the sets are held against a pivot, near ones are linked to it,
-those all but equal to it leave, and the others are split again. Runs repeat until the target recall.
+brute-forced on the pools; in a larger one the sets are held against a few pivots, near ones are linked to
+them, the nearest leave, and the others are split again. Runs repeat until the target recall.
 
 The links found so, with a generous threshold, only tell which sets may belong together. The whole sets of
 every group of such are then compared exactly, block against block, and the links counted.
@@ -31,11 +31,15 @@ THRESHOLD = 0.8
 POOL = 64
 #: A set goes on to 1/LAMBDA tokens: many from the first bucket, then about as many as stay together.
 FIRST_LAMBDA, LAMBDA = 0.25, 0.7
-LIMIT = 128
+LIMIT = 256
 PIVOTS = 8
-RECALL = 0.999
-#: Links on the pools: generous, about four standard errors under the threshold; and all but equal.
-LOOSE, CLOSE = 0.55, 0.9
+RECALL = 0.995
+#: On the pools: what is as near as CLOSE to a pivot needs no further look, because all that is within the
+#: threshold of it is, by the triangle inequality, nearer than CLOSE - 0.2 and so linked to the pivot as LOOSE.
+#: The gap of 0.15 is about two and a half standard errors.
+LOOSE, CLOSE = 0.35, 0.7
+#: Links up to which one task joins them (16 bytes each); more go through the distributed stars.
+LOCAL_LINKS = 1_000_000
 #: Sets in one block of the exact comparison.
 BLOCK = 256
 
@@ -217,6 +221,31 @@ def candidate_links(sets: DataFrame, recall: float, threshold: float) -> DataFra
     return out
 
 
+def joined(links: DataFrame) -> DataFrame:
+    """node and component of links (u, v): by one task where they are few, by alternating stars beyond."""
+    links = stash(links, "candidates")
+    if links.count() > LOCAL_LINKS:
+        return components(links)
+
+    def join(frames):
+        number: dict[int, int] = {}
+        sets = _Sets(0)
+        for pdf in frames:
+            for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+                for x in (u, v):
+                    if x not in number:
+                        number[x] = len(number)
+                        sets.up.append(number[x])
+                sets.join(number[u], number[v])
+        least: dict[int, int] = {}
+        roots = {x: sets.root(i) for x, i in number.items()}
+        for x, r in roots.items():
+            least[r] = min(x, least.get(r, x))
+        yield pd.DataFrame({"node": list(roots), "component": [least[r] for r in roots.values()]}).astype("int64")
+
+    return links.coalesce(1).mapInPandas(join, "node long, component long")
+
+
 def _compare(g: pd.DataFrame, n: int, threshold: float) -> list[tuple[int, int, int]]:
     """Exact similarities between two blocks of a group, or within one.
 
@@ -283,7 +312,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     member = {"key": F.xxhash64("ha", "hb")}
     pools = worded.join(classes, ["ha", "hb"]).where("id = rep").withColumns(member).dropDuplicates(["key"])
     links = candidate_links(stash(pools.select(F.col("key").alias("id"), "pool"), "pools"), recall, threshold)
-    groups = stash(components(links), "groups")
+    groups = stash(joined(links), "groups")
 
     # the whole sets of each group, block against block
     counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
@@ -294,8 +323,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     dealt = whole.withColumn("p", F.explode(pairs)).select("key", "copies", "ha", "hb", "block", "text", "p.a", "p.b", F.xxhash64("component", "p.a", "p.b").alias("group"))
     found = stash(dealt.repartition("group").sortWithinPartitions("group", "key").mapInPandas(_compared(n, threshold), "u long, v long, n long"), "found")
     degree = found.where("u = v").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("more"))
-    joined = components(found.where("u <> v").select("u", "v"))
-    by_key = classes.withColumns(member).join(joined.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+    classed = joined(found.where("u <> v").select("u", "v"))
+    by_key = classes.withColumns(member).join(classed.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
     by_key = by_key.withColumn("component", F.coalesce("component", "key"))
     least = by_key.groupBy("component").agg(F.min("rep").alias("class_id"))
     of = stash(by_key.join(least, "component").select("ha", "hb", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "classof")
