@@ -97,10 +97,10 @@ def _text_kind(head: bytes) -> str | None:
     if not head or b"\0" in head and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
         return None
     low = head.lstrip(b"\xef\xbb\xbf \t\r\n").lower()
+    if re.match(rb"(?:[a-z-]+: [^\n]*\r?\n(?:[ \t][^\n]*\n)*)*mime-version:", low):
+        return "multipart/related" if b"multipart/related" in low[:2048] else "message/rfc822"
     if low.startswith((b"<!doctype html", b"<html")) or b"<html" in low[:1024]:
         return "text/html"
-    if re.match(rb"(?:[a-z-]+: [^\n]*\r?\n(?:[ \t][^\n]*\n)*)*mime-version:", low) or b"multipart/related" in low[:2048]:
-        return "multipart/related" if b"multipart/related" in low[:2048] else "message/rfc822"
     if low.startswith(b"<?xml") or re.match(rb"<[a-z][\w:.-]*[\s/>]", low):
         return "application/rss+xml" if b"<rss" in low[:2048] else "application/atom+xml" if b"<feed" in low[:2048] else "text/xml"
     if low[:1] in (b"{", b"["):
