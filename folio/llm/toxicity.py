@@ -256,8 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
         """The features of a text, with its group of near copies."""
         for pdf in frames:
             for t in pdf["t"]:
-                fs = sorted(_features(t))
-                yield pd.DataFrame({"f": fs, "k": _group(t)})
+                if fs := sorted(_features(t)):
+                    yield pd.DataFrame({"f": fs, "k": _group(t)})
 
     borne = sample.where("y = 1").mapInPandas(of_toxic, "f string, k long").groupBy("f").agg(F.approx_count_distinct("k", 0.02).alias("n")).where(F.col("n") >= SUPPORT)
     toxic = {r["f"]: r["n"] for r in borne.collect()}  # features of a bounded sample
@@ -266,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     def of_other(frames):
         for pdf in frames:
             seen = Counter(f for t in pdf["t"] for f in _features(t) & wanted.value)
-            yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
 
     other = {r["f"]: r["n"] for r in sample.where("y = 0").mapInPandas(of_other, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     total = {r["y"]: (r["n"], r["c"]) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("c")).collect()}
