@@ -26,7 +26,7 @@ PATTERNS = {
     "card": r"(?<![0-9\-])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])",
     "token": r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа)\.? (?:(?!(?:Mrs?|Ms|Miss|Mister|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\b)\p{Lu}\p{Ll}{1,30}[ \-]?){1,3}(?<=\p{Ll})",
+    "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа)\.? (?:(?!(?:Mrs?|Ms|Miss|Mister|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\b)(?!\S*@)\p{Lu}\p{Ll}{1,30}[ \-]?){1,3}(?<=\p{Ll})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every mention passes.
