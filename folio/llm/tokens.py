@@ -23,11 +23,14 @@ from pyspark.sql import types as T
 
 from folio.runtime import ship
 
-#: Pieces of which a worker remembers the counts.
+#: Pieces, and words, of which a worker remembers the counts: this many new ones, and the generation before.
 MEMO = 400_000
 
 #: A word, or a word and signs after it, that any lower-casing word-level splitter cuts at that place.
-_PLAIN = re.compile(r"([a-z]+)[!-&(-/:-@\[-`{-~]*")
+_PLAIN = re.compile(r"([a-zß-öø-ÿāăąćĉċčďđēĕėęěğñœšž]+)[!-&(-/:-@\[-`{-~]*")
+#: The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512))) | {b: b for b in _PRINTED}
 
 #: ASCII white space parts a text into pieces that the tokenizer never joins.
 _PIECE = re.compile(r"[^ \t\n\r\f\v]+")
@@ -56,7 +59,9 @@ class PrefixCounter:
         self._pair: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
         self._memo: dict[str, int] = {}
+        self._memo_before: dict[str, int] = {}
         self._word: dict[str, int] = {}
+        self._word_before: dict[str, int] = {}
 
     # -- the dynamic program over one pre-token ----------------------------------------------
 
@@ -139,10 +144,12 @@ class PrefixCounter:
         """Tokens of one pre-token: the end of the same program."""
         got = self._word.get(w)
         if got is None:
-            if len(self._word) >= MEMO:
-                self._word.clear()
-            got = self._closed(w, *self._open(w)) if w else 0
+            got = self._word_before.get(w)
+            if got is None:
+                got = self._closed(w, *self._open(w)) if w else 0
             if len(w) <= 64:
+                if len(self._word) >= MEMO:
+                    self._word_before, self._word = self._word, {}
                 self._word[w] = got
         return got
 
@@ -150,8 +157,11 @@ class PrefixCounter:
 
     def _pretokens(self, piece: str) -> list[str]:
         """The pre-tokens in the byte alphabet; plain ASCII words with or without a sign need no library."""
-        if self.plain and piece.isascii() and (m := _PLAIN.fullmatch(low := piece.lower())):
-            return [low[: m.end(1)], low[m.end(1) :]] if m.end(1) < len(low) else [low]
+        if self.plain and (m := _PLAIN.fullmatch(low := piece.lower())) and len(low) == len(piece):
+            word, signs = low[: m.end(1)], low[m.end(1) :]
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_ALPHABET)
+            return [word, signs] if signs else [word]
         t = self.tokenizer
         return [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(piece))]
 
@@ -159,10 +169,12 @@ class PrefixCounter:
         """Tokens of a piece without white space; special strings in it count as the library has them."""
         got = self._memo.get(piece)
         if got is None:
-            got = self._count(piece, self.specials)
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
+            got = self._memo_before.get(piece)
+            if got is None:
+                got = self._count(piece, self.specials)
             if len(piece) <= 64:
+                if len(self._memo) >= MEMO:
+                    self._memo_before, self._memo = self._memo, {}
                 self._memo[piece] = got
         return got
 
