@@ -29,8 +29,9 @@ PATTERNS = {
     "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа)\.? (?:(?!(?:Mrs?|Ms|Miss|Mister|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\b)(?!\S*@)\p{Lu}\p{Ll}{1,30}[ \-]?){1,3}(?<=\p{Ll})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every mention passes.
-HINT = r"@|[0-9a-f]{8}|[0-9][ .\-)][0-9( ]|(?:password|passwd|secret|key|token)[\"']?\s{0,3}[=:]|AKIA|ASIA|[A-Z]{2}[0-9]{2}|(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа)\.? \p{Lu}"
+# Words before a secret, and how titles begin and go on.
+SECRET_WORDS = ("passw", "secret", "api_key", "apikey", "token")
+TITLE = r"[MHFSГг](?:rs?|s|iss|ister|onsieur|adame|me|err|rau|eñora?|ra?|осподин|оспожа|-н|-жа)\.? \p{Lu}"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|г-жа)\b"
 
 # Names by script and gender, and the syllables that family names are built from.
@@ -48,6 +49,14 @@ def mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
+def hinted(text: Column) -> Column:
+    """A cheap test that every text with a mention passes: a sign, a digit, a word or a title."""
+    out = text.contains("@") | text.rlike("[0-9]")
+    for word in SECRET_WORDS:
+        out = out | text.contains(word)
+    return out | text.rlike(TITLE)
+
+
 def kind_of(mention: Column) -> Column:
     out = F.lit(None).cast("string")
     for k, p in reversed(PATTERNS.items()):
@@ -217,7 +226,7 @@ def replace_entities(docs: DataFrame, secret: str = "folio", text: str = "text")
     columns = [c for c in docs.columns if c != "n_entities"]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns])
     t = F.col(f"`{text}`")
-    maybe = F.coalesce(t.rlike(HINT), F.lit(False))
+    maybe = F.coalesce(hinted(t), F.lit(False))
     found = rows.where(maybe).withColumn("_m", mentions(t))
     keys = {"_a": F.xxhash64(t), "_b": F.xxhash64(t, F.lit(1))}
     listed = stash(found.where(F.size("_m") > 0).select(*[v.alias(k) for k, v in keys.items()], F.array_distinct("_m").alias("_m")).distinct(), "mentions")
