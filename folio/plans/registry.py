@@ -10,6 +10,7 @@ from importlib.metadata import entry_points
 
 from folio.converters import archive, books, media, office, ole, text, web, xmltree
 from folio.converters import pdf as pdf_
+from folio.hooks import ANALYZERS, CANONICAL, MODALITY
 from folio.plans import detect
 from folio.plans.model import ConversionError, Info, Options, Result, Unsupported
 
@@ -84,7 +85,24 @@ GENERAL = [
     Converter("plain", text.plain, (".txt", ".text", ".md", ".markdown", ".json", ".jsonl"), ("text/", "application/json", "application/markdown"), lambda i, d: i.charset is not None, notes="as it is"),
 ]
 
-_TRAIL = re.compile(r"[^\S\n]+(?=\n|$)")
+
+def _modality(info: Info) -> str | None:
+    """The kind of analysis that a service has for a type."""
+    mime = (info.mimetype or "").split(";")[0].strip().lower()
+    mime = CANONICAL.get(mime, mime)
+    return next((k for k, types in MODALITY.items() if mime in types), None)
+
+
+def _analyze(data: bytes, info: Info, options: Options) -> Result:
+    """What an analysis service says, without its page comments."""
+    said = options.hooks.analyze(data, info.mimetype, ANALYZERS[_modality(info)])
+    if not said:
+        raise ConversionError("the service said nothing")
+    return Result(re.sub(r"(?s)<!--.*?-->", "", said))
+
+
+#: Tried first where the caller gave a service.
+ANALYSIS = Converter("analysis", _analyze, accepts_only=lambda i, d: _modality(i) is not None, notes="by a service")
 
 
 def normalise(text: str) -> str:
@@ -148,6 +166,8 @@ class Registry:
         """The first success of the guesses, and of no guess at all, times the converters."""
         attempts: list[Attempt] = []
         order = self.ordered()
+        if getattr(options.hooks, "analyze", None) is not None:
+            order = [ANALYSIS, *order]
         for guess in [*detect.guesses(data, info), Info()]:
             for c in order:
                 try:

@@ -62,3 +62,10 @@ def convert_batch(uris: list[str], out_dir: str, engine: Folio | None = None) ->
 
 def supported_formats(engine: Folio | None = None) -> str:
     return "\n".join(f"{name}: {', '.join(ext) or '-'} ({notes})" for name, ext, notes in (engine or Folio()).formats())
+
+
+def capabilities(engine: Folio | None = None) -> dict[str, bool | int]:
+    """What an engine can do beyond reading formats; never with keys."""
+    hooks = (engine or Folio()).options.hooks
+    names = ("caption", "ocr", "ocr_pdf", "transcribe", "transcript", "analyze")
+    return {"formats": len((engine or Folio()).formats())} | {n: getattr(hooks, n, None) is not None for n in names}

@@ -187,3 +187,11 @@ def test_order_and_failures():
 
     own.register(Converter("mine", lambda d, i, o: Result("mine"), (".txt",)))
     assert own.convert(b"x", Info(extension=".txt"), Options()).converter == "mine"
+
+
+def test_analysis_service():
+    service = Hooks(analyze=lambda d, m, a: f"<!-- page -->{a} {m}" if m == "application/pdf" else "")
+    assert run(pdf(PROSE), Options(hooks=service)).result.markdown == "prebuilt-documentSearch application/pdf"
+    got = run(wav(), Options(hooks=service))
+    assert got.converter == "audio" and got.attempts[0].converter == "analysis"
+    assert run(b"a,b", Options(hooks=service), extension=".csv").converter == "csv"

@@ -13,7 +13,7 @@ from folio.functions import uri
 from folio.plans import detect, dispatch
 from folio.plans.model import INFO_FIELDS, Info
 from folio.sources import fetch, readers
-from folio.tools import convert_batch, convert_to_markdown, preview, supported_formats, unique_names
+from folio.tools import capabilities, convert_batch, convert_to_markdown, preview, supported_formats, unique_names
 
 
 def test_info_updates():
@@ -136,6 +136,7 @@ def test_tools(tmp_path):
     with pytest.raises(ValueError):
         convert_batch([], "../x")
     assert "pdf: .pdf" in supported_formats()
+    assert capabilities() == {"formats": 23, "caption": False, "ocr": False, "ocr_pdf": False, "transcribe": False, "transcript": False, "analyze": False}
 
 
 # -- tables -------------------------------------------------------------------------------------
