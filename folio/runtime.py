@@ -76,6 +76,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
