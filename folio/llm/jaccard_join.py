@@ -40,6 +40,8 @@ RECALL = 0.995
 LOOSE, CLOSE = 0.35, 0.7
 #: Links up to which one task joins them (16 bytes each); more go through the distributed stars.
 LOCAL_LINKS = 1_000_000
+#: The id that a null id counts as.
+NULL_ID = -(1 << 63)
 #: Sets in one block of the exact comparison.
 BLOCK = 256
 
@@ -298,13 +300,13 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     copy_id: the least id with the same n-gram set. class_id: the least id that links lead to. n_links: rows
     of other ids at or over the threshold, copies included. Texts without words, null or not, link to
     nothing and are classes of their own. Rows that repeat an id count as one if their sets agree; an id with
-    several texts gets a row for each. Null ids are one id, the least. Empty input: no rows.
+    several texts gets a row for each. Null ids are one id, less than all others. Empty input: no rows.
 
     A group of n similar sets costs n*n/2 comparisons, dealt in blocks over tasks, but gives rows only for
     its n members.
     """
     ship(docs.sparkSession)
-    lean = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text}`").alias("text"))
+    lean = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
     sets = stash(_sets(lean, n), "sets")
     worded = sets.where("size > 0")
     classes = stash(worded.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "classes")
@@ -330,7 +332,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     of = stash(by_key.join(least, "component").select("ha", "hb", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "classof")
     out = worded.join(of, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "copy_id", "class_id", "n_links")
     alone = sets.where("size = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone)
+    ids = [F.nullif(F.col(c), F.lit(NULL_ID)).alias(c) for c in ("doc_id", "copy_id", "class_id")]
+    return out.unionByName(alone).select(*ids, "n_links")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from folio.runtime import drop_stash, stash, table
 
 K, S, UNIT, SIZE = 5, 2, 12, 64
+#: The id that a null id counts as.
+NULL_ID = -(1 << 63)
 
 
 def anchors(text: Column) -> Column:
@@ -95,8 +97,7 @@ def edited(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataF
     The last quarter of a text's code points gives way to the first as many of the next row's, by ascending
     id. Of rows with one id the least text is the next; null ids come first, null texts are empty.
     """
-    lowest = -(1 << 63)
-    base = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(lowest)).alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     links = stash(next_ids(base.groupBy("k").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))), "links")
     keyed = base.withColumn("least", sketch(F.col("text")))
     heads = keyed.join(links.select(F.col("k").alias("before"), F.col("next_k").alias("k"), "need"), "k")
@@ -110,7 +111,7 @@ def op8_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
     got = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
     got = got.select("k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "least", "next_least", sketch(F.col("edited")).alias("edited_least"))
     return got.select(
-        F.col("k").alias("doc_id"), "n_chars", "edited_sha256",
+        F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_chars", "edited_sha256",
         as_text(F.col("least")).alias("fingerprint"), as_text(F.col("edited_least")).alias("edited_fingerprint"),
         likeness(F.col("least"), F.col("edited_least")).alias("near_edited"), likeness(F.col("least"), F.col("next_least")).alias("near_next"),
     )
