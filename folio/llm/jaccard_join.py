@@ -338,3 +338,18 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op1_sql() -> str:
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least({N}, len(w)) - 1], ' ') AS g FROM d, unnest(range(1, len(w) - least({N}, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+own AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS copy FROM l GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS copy_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN class ON class.a = doc_id LEFT JOIN own ON own.a = doc_id"""

@@ -77,7 +77,7 @@ class Model:
         self.prior = np.log((docs + 1) / (docs + 1).sum())
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        cleaned = [_clean(t) for t in texts]
+        cleaned = [c if any(map(str.isalpha, c)) else "" for c in map(_clean, texts)]
         total = np.zeros((len(texts), len(self.languages)))
         n = np.zeros(len(texts))
         for at, part in _slices(cleaned):

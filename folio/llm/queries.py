@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.decontaminate import op6_decontamination, op6_sql
-from folio.llm.jaccard_join import op1_ngram_jaccard_join
+from folio.llm.jaccard_join import op1_ngram_jaccard_join, op1_sql
 from folio.llm.langid import op2_language_id
 from folio.llm.line_dedup import op7_line_dedup
 from folio.llm.mixing import op5_source_mixing
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op6_decontamination": op6_sql()}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": op1_sql(), "op6_decontamination": op6_sql()}
