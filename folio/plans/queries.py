@@ -14,7 +14,7 @@ from folio import hooks
 from folio.functions import text as ft
 from folio.functions import uri as fu
 from folio.operators import archives, shaping, sinks
-from folio.plans import detect, dispatch
+from folio.plans import detect, dispatch, samples
 from folio.plans.model import INFO_FIELDS, INPUT
 from folio.plans.registry import formats as all_formats
 from folio.runtime import ship, stash, table
@@ -410,3 +410,85 @@ def running_length(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", n.alias("n"), F.sum(n).over(w).alias("upto"))
 
 
+
+
+# -- whole files of every format, made of a region's nations, read again ------------------------------
+
+
+def _by_region(spark: SparkSession, d: str, make: Callable[[str, list[tuple[int, str]]], bytes]) -> DataFrame:
+    """The region's name and the Markdown of the file made of its nations (key and name, by key)."""
+    ship(spark)
+    joined = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    groups = joined.groupBy("r_name").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+
+    def run(frames):
+        for pdf in frames:
+            made = [make(name, [(n["n_nationkey"], n["n_name"]) for n in nations]) for name, nations in zip(pdf["r_name"], pdf["nations"], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["r_name"], "content": made, "hint": [None] * len(made)})
+
+    return dispatch.convert_documents(groups.mapInPandas(run, INPUT)).select(F.col("doc_id").alias("r_name"), "converter", "markdown")
+
+
+def _region_sql(converter: str, head: str, line: str, between: str = "chr(10)", tail: str = "''") -> str:
+    """What the Markdown of a region's nations has to be."""
+    return f"SELECT r_name, '{converter}' AS converter, {head} || string_agg({line}, {between} ORDER BY n_nationkey) || {tail} AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+
+
+_HEAD = "'| key | name |' || chr(10) || '| --- | --- |' || chr(10)"
+#: a name as text of a page, with its underscores escaped
+_SHOWN = "replace(n_name, '_', '\\_')"
+_LINE = "'| ' || n_nationkey || ' | ' || n_name || ' |'"
+
+
+def _rows(nations: list[tuple[int, str]]) -> list[list[str]]:
+    return [["key", "name"], *([str(k), n] for k, n in nations)]
+
+
+@query(_region_sql("xlsx", f"'## ' || r_name || chr(10) || {_HEAD}", _LINE))
+def convert_workbooks(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.workbook(name, _rows(nations)))
+
+
+@query(_region_sql("ods", f"'## ' || r_name || chr(10) || {_HEAD}", _LINE))
+def convert_open_sheets(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.open_sheet(name, _rows(nations)))
+
+
+@query(f"""SELECT r_name, 'docx' AS converter, '# ' || r_name || chr(10) || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) || chr(10) || {_HEAD}
+  || string_agg({_LINE}, chr(10) ORDER BY n_nationkey) AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def convert_letters(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.letter(name, [n for _, n in nations], _rows(nations)))
+
+
+@query(f"""SELECT r_name, 'pptx' AS converter, string_agg('<!-- Slide number: ' || k || ' -->' || chr(10) || '# ' || n_name || chr(10) || n_nationkey, chr(10) || chr(10) ORDER BY k) AS markdown
+  FROM (SELECT r_name, n_name, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY r_name""")
+def convert_decks(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.deck([(n, str(k)) for k, n in nations]))
+
+
+@query(_region_sql("epub", "'**Title:** ' || r_name || chr(10) || '**Authors:** folio' || chr(10) || chr(10)", f"'## ' || {_SHOWN} || chr(10) || chr(10) || 'Key ' || n_nationkey || '.'", "chr(10) || chr(10)"))
+def convert_books(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.book(name, "folio", [(n, f"Key {k}.") for k, n in nations]))
+
+
+@query(_region_sql("rss", "'# ' || r_name || chr(10) || 'its nations' || chr(10) || chr(10)", f"'## ' || n_name || chr(10) || 'Published on: day ' || n_nationkey || chr(10) || 'About <' || {_SHOWN}", "chr(10)"))
+def convert_feeds(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.feed(name, "its nations", [(n, f"day {k}", f"About <{n}") for k, n in nations]))
+
+
+@query(_region_sql("xml", "'# nations' || chr(10) || chr(10) || '| @id | name |' || chr(10) || '| --- | --- |' || chr(10)", _LINE, tail="chr(10)"))
+def convert_records(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.records("nations", [{"id": str(k), "name": n} for k, n in nations]))
+
+
+@query("""WITH j AS (SELECT r_name, n_nationkey, CAST(n_nationkey AS VARCHAR) AS key, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+w AS (SELECT r_name, greatest(3, max(length(key))) AS a, greatest(4, max(length(n_name))) AS b, greatest(6, max(length(r_name))) AS c FROM j GROUP BY r_name)
+SELECT r_name, 'pdf' AS converter, '| ' || rpad('key', a, ' ') || ' | ' || rpad('name', b, ' ') || ' | ' || rpad('region', c, ' ') || ' |' || chr(10) || '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' | ' || repeat('-', c) || ' |' || chr(10)
+  || string_agg('| ' || rpad(key, a, ' ') || ' | ' || rpad(n_name, b, ' ') || ' | ' || rpad(r_name, c, ' ') || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM j JOIN w USING (r_name) GROUP BY r_name, a, b, c""".replace("greatest(", "(SELECT CAST(greatest(").replace(") AS a", ") AS INTEGER)) AS a").replace(") AS b", ") AS INTEGER)) AS b").replace(") AS c ", ") AS INTEGER)) AS c "))
+def convert_forms(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.form([["key", "name", "region"], *([str(k), n, name] for k, n in nations)], [72, 200, 400]))
+
+
+@query(f"SELECT r_name, 'mhtml' AS converter, '# ' || r_name || chr(10) || chr(10) || string_agg({_SHOWN}, ', ' ORDER BY n_nationkey) || ' = é' AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def convert_web_archives(spark, d):
+    return _by_region(spark, d, lambda name, nations: samples.web_archive(name, ", ".join(n for _, n in nations) + " = é"))
