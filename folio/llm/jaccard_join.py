@@ -36,8 +36,10 @@ PIVOTS = 8
 RECALL = 0.995
 #: On the pools: what is as near as CLOSE to a pivot needs no further look, because all that is within the
 #: threshold of it is, by the triangle inequality, nearer than CLOSE - 0.2 and so linked to the pivot as LOOSE.
-#: The gap of 0.15 is about two and a half standard errors.
+#: The gap of 0.15 is about two and a half standard errors. In a small bucket every set is a pivot, but for
+#: those within LEAF_CLOSE of one before.
 LOOSE, CLOSE = 0.35, 0.7
+LEAF_LOOSE, LEAF_CLOSE = 0.6, 0.95
 #: Links up to which one task joins them (16 bytes each); more go through the distributed stars.
 LOCAL_LINKS = 1_000_000
 #: The id that a null id counts as.
@@ -161,8 +163,8 @@ def _leaf(ids: np.ndarray, pools: list[np.ndarray]) -> list[tuple[int, int]]:
         if gone[i]:
             continue
         near = _near(pools[i], pools[i + 1 :])
-        gone[i + 1 :] |= near >= CLOSE
-        out += [(ids[i], ids[j]) for j in (np.flatnonzero(near >= LOOSE) + i + 1).tolist() if sets.join(i, j)]
+        gone[i + 1 :] |= near >= LEAF_CLOSE
+        out += [(ids[i], ids[j]) for j in (np.flatnonzero(near >= LEAF_LOOSE) + i + 1).tolist() if sets.join(i, j)]
     return out
 
 
