@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import io
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any, BinaryIO
 from urllib.parse import urlsplit
@@ -25,10 +27,11 @@ class Folio:
     conversion can override the options.
     """
 
-    def __init__(self, enable_builtins: bool = True, enable_plugins: bool = False, hooks: Hooks | None = None, guard: bool = True, **options: Any):
+    def __init__(self, enable_builtins: bool = True, enable_plugins: bool = False, hooks: Hooks | None = None, guard: bool = True, fetcher: Callable[[str], fetch.Fetched] | None = None, **options: Any):
         self.registry = Registry(enable_builtins)
         self.options = Options(hooks=hooks, **options)
-        self.guard = guard
+        #: what fetches from the web, for a session of the caller's own
+        self.fetcher = fetcher or functools.partial(fetch.fetch, guard=guard)
         if enable_plugins:
             self.registry.load_plugins()
 
@@ -88,7 +91,7 @@ class Folio:
             base = Info(mimetype=mime, charset=attributes.get("charset")).updated(info)
             return self._run(body, base.updated(url=mock_url) if mock_url else base, **options)
         if scheme in ("http", "https"):
-            got = fetch.fetch(uri, guard=self.guard)
+            got = self.fetcher(uri)
             base = got.info.updated(info)
             return self._run(got.body, base.updated(url=mock_url) if mock_url else base, **options)
         raise ValueError(f"unsupported address: {uri[:100]}; http, https, file and data are known")

@@ -100,6 +100,9 @@ def test_front(tmp_path):
     with pytest.raises(ValueError):
         f.convert_uri("file://host/x")
 
+    own = Folio(fetcher=lambda u: fetch.Fetched(b"a,b", Info(mimetype="text/csv", url=u)))
+    assert own.convert("http://h/x").markdown.startswith("| a | b |")
+
     class Response:
         url, headers = "http://h/x", {"Content-Type": "text/csv"}
 
