@@ -31,7 +31,10 @@ THRESHOLD = 0.8
 POOL = 64
 #: A set goes on to 1/LAMBDA tokens: many from the first bucket, then about as many as stay together.
 FIRST_LAMBDA, LAMBDA = 0.25, 0.7
-LIMIT = 256
+#: Sets that are brute-forced together in one task: at first, and after doubling with every level.
+LIMIT, MOST = 256, 4096
+#: Parts of a pool of PARTED tokens or more, one for each level in turn, so that a path's tokens differ.
+PARTS, PARTED = 8, 24
 PIVOTS = 8
 RECALL = 0.995
 #: On the pools: what is as near as CLOSE to a pivot needs no further look, because all that is within the
@@ -116,10 +119,18 @@ def _as_pool(x: bytes) -> np.ndarray:
 
 
 def _pick(pool: bytes, path: int, seed: int, rate: float) -> np.ndarray:
-    """The paths to which a pool goes on: one for each token that the hash of run and path picks."""
+    """The paths to which a pool goes on: one for each token that the hash of run and path picks.
+
+    ``seed`` is the level; past the first a large pool offers the level's part of its tokens only.
+    """
     p = _as_pool(pool).astype(np.uint64)
+    if seed and len(p) >= PARTED:
+        rate *= PARTS
+        rate, p = rate / len(p), p[kernel.mix(p) % np.uint64(PARTS) == seed % PARTS]
+    else:
+        rate /= max(1, len(p))
     h = kernel.mix(p ^ kernel.mix(np.array([(path + seed) & 0xFFFFFFFFFFFFFFFF], np.uint64)))
-    return kernel.mix(h[h < np.uint64(min(1.0, rate / max(1, len(p))) * (2**64 - 2048))] + np.uint64(1)).view(np.int64)
+    return kernel.mix(h[h < np.uint64(min(1.0, rate) * (2**64 - 2048))] + np.uint64(1)).view(np.int64)
 
 
 def _near(pool: np.ndarray, pools: list[np.ndarray]) -> np.ndarray:
@@ -192,12 +203,13 @@ def candidate_links(sets: DataFrame, recall: float, threshold: float) -> DataFra
     state, level = sets.mapInPandas(first, "path long, id long"), 0
     while True:
         level += 1
+        limit = min(MOST, LIMIT << level - 1)
         state = stash(state, f"paths{level}")
         sizes = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         state = stash(state.join(sizes, "path"), f"buckets{level}")
-        small = state.where(F.col("n") <= LIMIT).join(sets, "id").select("path", "id", "pool")
+        small = state.where(F.col("n") <= limit).join(sets, "id").select("path", "id", "pool")
         links.append(stash(small.repartition("path").sortWithinPartitions("path", "id").mapInPandas(_leaves, "u long, v long").distinct(), f"links{level}"))
-        large = state.where(F.col("n") > LIMIT)
+        large = state.where(F.col("n") > limit)
         if large.isEmpty():
             break
         # a few pivots for each large bucket, to which all its rows are held where they lie
