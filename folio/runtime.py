@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +93,22 @@ def drop_stash(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops, at its end, the tables that :func:`stash` wrote within, but for those handed to what it yields."""
+    before, kept = {p for _, p in _written}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_folio_path", None))
+        return df
+
+    yield keep
+    for spark, path in list(_written):
+        if path not in before and path not in kept:
+            delete_path(spark, path)
+            _written.remove((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
