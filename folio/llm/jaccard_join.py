@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import kernel
 from folio.llm.graph import components
-from folio.runtime import ship, stash, table
+from folio.runtime import scratch, ship, stash, table
 
 N = 5
 THRESHOLD = 0.8
@@ -48,7 +48,7 @@ LOCAL_LINKS = 1_000_000
 #: The id that a null id counts as.
 NULL_ID = -(1 << 63)
 #: Sets in one block of the exact comparison.
-BLOCK = 256
+BLOCK = 512
 
 
 def runs(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = 1) -> int:
@@ -320,30 +320,31 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     its n members.
     """
     ship(docs.sparkSession)
-    lean = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = stash(_sets(lean, n), "sets")
-    worded = sets.where("size > 0")
-    classes = stash(worded.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "classes")
-    # an id may have several texts: a class is known by its hash, and by the least id in the result
-    member = {"key": F.xxhash64("ha", "hb")}
-    pools = worded.join(classes, ["ha", "hb"]).where("id = rep").withColumns(member).dropDuplicates(["key"])
-    links = candidate_links(stash(pools.select(F.col("key").alias("id"), "pool"), "pools"), recall, threshold)
-    groups = stash(joined(links), "groups")
-
-    # the whole sets of each group, block against block
-    counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    placed = groups.join(counts, "component").select(F.col("node").alias("key"), "component", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).alias("block"))
-    chosen = placed.join(classes.withColumns(member), "key").select("key", "component", "blocks", "block", F.col("rep").alias("id"), "copies", "ha", "hb")
-    whole = lean.join(chosen, "id").groupBy("key", "component", "blocks", "block", "copies", "ha", "hb", F.xxhash64("text").alias("_t")).agg(F.min("text").alias("text"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("a"), F.greatest("block", k).alias("b")))
-    dealt = whole.withColumn("p", F.explode(pairs)).select("key", "copies", "ha", "hb", "block", "text", "p.a", "p.b", F.xxhash64("component", "p.a", "p.b").alias("group"))
-    found = stash(dealt.repartition("group").sortWithinPartitions("group", "key").mapInPandas(_compared(n, threshold), "u long, v long, n long"), "found")
-    degree = found.where("u = v").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("more"))
-    classed = joined(found.where("u <> v").select("u", "v"))
-    by_key = classes.withColumns(member).join(classed.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    by_key = by_key.withColumn("component", F.coalesce("component", "key"))
-    least = by_key.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = stash(by_key.join(least, "component").select("ha", "hb", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "classof")
+    with scratch() as keep:
+        lean = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+        sets = keep(stash(_sets(lean, n), "sets"))
+        worded = sets.where("size > 0")
+        classes = stash(worded.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "classes")
+        # an id may have several texts: a class is known by its hash, and by the least id in the result
+        member = {"key": F.xxhash64("ha", "hb")}
+        pools = worded.join(classes, ["ha", "hb"]).where("id = rep").withColumns(member).dropDuplicates(["key"])
+        links = candidate_links(stash(pools.select(F.col("key").alias("id"), "pool"), "pools"), recall, threshold)
+        groups = stash(joined(links), "groups")
+
+        # the whole sets of each group, block against block
+        counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+        placed = groups.join(counts, "component").select(F.col("node").alias("key"), "component", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).alias("block"))
+        chosen = placed.join(classes.withColumns(member), "key").select("key", "component", "blocks", "block", F.col("rep").alias("id"), "copies", "ha", "hb")
+        whole = lean.join(chosen, "id").groupBy("key", "component", "blocks", "block", "copies", "ha", "hb", F.xxhash64("text").alias("_t")).agg(F.min("text").alias("text"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("a"), F.greatest("block", k).alias("b")))
+        dealt = whole.withColumn("p", F.explode(pairs)).select("key", "copies", "ha", "hb", "block", "text", "p.a", "p.b", F.xxhash64("component", "p.a", "p.b").alias("group"))
+        found = stash(dealt.repartition("group").sortWithinPartitions("group", "key").mapInPandas(_compared(n, threshold), "u long, v long, n long"), "found")
+        degree = found.where("u = v").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("more"))
+        classed = joined(found.where("u <> v").select("u", "v"))
+        by_key = classes.withColumns(member).join(classed.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+        by_key = by_key.withColumn("component", F.coalesce("component", "key"))
+        least = by_key.groupBy("component").agg(F.min("rep").alias("class_id"))
+        of = keep(stash(by_key.join(least, "component").select("ha", "hb", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "classof"))
     out = worded.join(of, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "copy_id", "class_id", "n_links")
     alone = sets.where("size = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     ids = [F.nullif(F.col(c), F.lit(NULL_ID)).alias(c) for c in ("doc_id", "copy_id", "class_id")]

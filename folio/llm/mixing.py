@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import kernel
-from folio.runtime import ship, stash, table
+from folio.runtime import drop_stash, ship, stash, table
 
 BUCKETS = 1 << 16
 #: Labelled rows that are learned from at most: a sample by hash of the id.
@@ -178,6 +178,7 @@ def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: fl
         if least > 0:
             total = max([total, *(least * h / x for h, x in zip(have, w, strict=True) if x > 0)])
     steps = fit_rates(members, w * total, least)
+    drop_stash(members)
     out = memberships(lean, model, text).withColumn("rate", _rate(steps, least))
     return out.select(*[F.col(f"`{c}`") for c in lean.columns], F.col("_tokens").alias("n_tokens"), *[F.get("_p", i).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.runtime import drop_stash, stash, table
+from folio.runtime import drop_stash, scratch, stash, table
 
 # What a mention looks like, in the order in which alternatives are tried.
 PATTERNS = {
@@ -229,11 +229,12 @@ def replace_entities(docs: DataFrame, secret: str = "folio", text: str = "text")
     maybe = F.coalesce(hinted(t), F.lit(False))
     found = rows.where(maybe).withColumn("_m", mentions(t))
     keys = {"_a": F.xxhash64(t), "_b": F.xxhash64(t, F.lit(1))}
-    listed = stash(found.where(F.size("_m") > 0).select(*[v.alias(k) for k, v in keys.items()], F.array_distinct("_m").alias("_m")).distinct(), "mentions")
-    single = listed.select(F.explode("_m").alias("mention")).distinct()
-    kinds = stash(single.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention"))), "kinds")
-    new = surrogates(kinds, secret)
-    put = stash(kinds.join(new, ["kind", "entity"]).select("mention", _render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")), "replacements")
+    with scratch() as keep:
+        listed = keep(stash(found.where(F.size("_m") > 0).select(*[v.alias(k) for k, v in keys.items()], F.array_distinct("_m").alias("_m")).distinct(), "mentions"))
+        single = listed.select(F.explode("_m").alias("mention")).distinct()
+        kinds = stash(single.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention"))), "kinds")
+        new = surrogates(kinds, secret)
+        put = keep(stash(kinds.join(new, ["kind", "entity"]).select("mention", _render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")), "replacements"))
     by_text = listed.select("_a", "_b", F.explode("_m").alias("mention")).join(put, "mention").groupBy("_a", "_b").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("_new"))
     hit = found.where(F.size("_m") > 0).withColumns(keys).join(by_text, ["_a", "_b"])
     between = F.split(t, ANY, -1)

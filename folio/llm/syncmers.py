@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.runtime import drop_stash, stash, table
+from folio.runtime import scratch, stash, table
 
 K, S, UNIT, SIZE = 5, 2, 12, 64
 #: The id that a null id counts as.
@@ -98,7 +98,8 @@ def edited(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataF
     id. Of rows with one id the least text is the next; null ids come first, null texts are empty.
     """
     base = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    links = stash(next_ids(base.groupBy("k").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))), "links")
+    with scratch() as keep:
+        links = keep(stash(next_ids(base.groupBy("k").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))), "links"))
     keyed = base.withColumn("least", sketch(F.col("text")))
     heads = keyed.join(links.select(F.col("k").alias("before"), F.col("next_k").alias("k"), "need"), "k")
     heads = heads.groupBy(F.col("before").alias("k")).agg(F.min(F.struct(F.expr("left(text, cast(need as int))").alias("head"), F.col("least"))).alias("h"))
