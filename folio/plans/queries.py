@@ -17,7 +17,7 @@ from folio.operators import archives, shaping, sinks
 from folio.plans import detect, dispatch, samples
 from folio.plans.model import INFO_FIELDS, INPUT
 from folio.plans.registry import formats as all_formats
-from folio.runtime import ship, stash, table
+from folio.runtime import shared_path, ship, stash, table
 from folio.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,3 +492,17 @@ def convert_forms(spark, d):
 @query(f"SELECT r_name, 'mhtml' AS converter, '# ' || r_name || chr(10) || chr(10) || string_agg({_SHOWN}, ', ' ORDER BY n_nationkey) || ' = é' AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def convert_web_archives(spark, d):
     return _by_region(spark, d, lambda name, nations: samples.web_archive(name, ", ".join(n for _, n in nations) + " = é"))
+
+
+@query("SELECT r_name, 'plain' AS converter, string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def stream_files(spark, d):
+    """Files that a folder gets, converted by a stream that ends when all are done."""
+    from folio.streaming.ingest import convert_stream
+
+    path = shared_path(spark, "stream")
+    joined = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = joined.repartition(F.col("r_name")).sortWithinPartitions("r_name", "n_nationkey")
+    lines.select("r_name", F.col("n_name").alias("value")).write.partitionBy("r_name").text(f"{path}/in")
+    convert_stream(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", glob="*.txt").awaitTermination()
+    done = spark.read.parquet(f"{path}/out")
+    return done.select(F.url_decode(F.regexp_extract("doc_id", "r_name=([^/]*)/", 1)).alias("r_name"), "converter", "markdown")
