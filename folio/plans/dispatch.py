@@ -10,7 +10,7 @@ from folio.functions.text import effectively_empty
 from folio.plans import detect
 from folio.plans.model import INFO_FIELDS, OUTPUT, Info, Options, Unsupported
 from folio.plans.registry import FailedConversion, Registry
-from folio.runtime import ship, stash
+from folio.runtime import ship, spread, stash
 
 
 def convert_row(doc_id: str | None, content: bytes | None, hint: dict | None, registry: Registry, options: Options) -> dict:
@@ -34,7 +34,8 @@ def convert_row(doc_id: str | None, content: bytes | None, hint: dict | None, re
 def convert_documents(docs: DataFrame, options: Options = Options(), registry: Registry | None = None) -> DataFrame:  # noqa: B008  frozen
     """doc_id, content and hint to the output schema; a bad row gets a status, the job goes on.
 
-    Rows stay where they are: no shuffle, one crossing to Python, and a row's bytes are held by one task.
+    Rows stay where they are, unless few or small files would leave most cores idle: no shuffle, one
+    crossing to Python, and a row's bytes are held by one task.
     """
     ship(docs.sparkSession)
     own = registry or Registry()
@@ -47,7 +48,7 @@ def convert_documents(docs: DataFrame, options: Options = Options(), registry: R
                 yield pd.DataFrame(rows, columns=OUTPUT.names)
 
     lean = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "hint")
-    return lean.mapInPandas(run, OUTPUT)
+    return spread(lean).mapInPandas(run, OUTPUT)
 
 
 def needs_fallback() -> Column:

@@ -39,6 +39,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores, if a plain scan has partitions for less than half of them.
+
+    For work in Python that costs far more than moving the rows: few or small files would keep most
+    cores idle. Larger inputs, plans with a shuffle of their own and streams stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().nodeName().startswith("Adaptive"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = plan.toRdd().getNumPartitions()
+    return df.repartition(cores) if n * 2 < cores or n < cores and _single(df) else df
+
+
+def _single(df: DataFrame) -> bool:
+    """Whether all rows come from one file, which may be one block that can't be split."""
+    try:
+        return len(df.inputFiles()) == 1
+    except Exception:  # rows that don't come from files
+        return False
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where unset."""
     sc = spark.sparkContext

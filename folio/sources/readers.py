@@ -13,7 +13,7 @@ from folio.functions import uri as uris
 from folio.plans import detect
 from folio.plans.dispatch import hint
 from folio.plans.model import INFO_FIELDS, INPUT, Info
-from folio.runtime import ship
+from folio.runtime import ship, spread
 from folio.sources import fetch
 
 
@@ -55,7 +55,7 @@ def delimited(table: DataFrame) -> DataFrame:
     return table.select(F.xxhash64(*table.columns).cast("string").alias("doc_id"), F.encode(F.concat(F.lit(head + "\n"), F.concat_ws(",", *quoted)), "UTF-8").alias("content"), hint(mimetype="text/csv", extension=".csv", charset="utf-8").alias("hint"))
 
 
-def addresses(spark: SparkSession, uris_: DataFrame | Iterable[str], column: str = "uri", guard: bool = True, per_task: int = 64) -> DataFrame:
+def addresses(spark: SparkSession, uris_: DataFrame | Iterable[str], column: str = "uri", guard: bool = True, tasks: int = 64) -> DataFrame:
     """data:, file: and web addresses; each scheme by its own reader, joined into one table.
 
     A bad address has null content. Web pages are fetched by the executors with ``fetch.fetch``.
@@ -80,16 +80,18 @@ def addresses(spark: SparkSession, uris_: DataFrame | Iterable[str], column: str
         for pdf in frames:
             yield pd.DataFrame([_fetched(x, guard) for x in pdf["uri"]], columns=INPUT.names)
 
-    parts = [table.where(F.col("uri").startswith("data:")).mapInPandas(data, INPUT), table.where(F.col("uri").rlike("^https?:")).repartition(max(1, per_task)).mapInPandas(web, INPUT)]
-    local = [uris.file_uri_to_path(r["uri"]) for r in table.where(F.col("uri").startswith("file:")).toLocalIterator()]
-    for host, path in local:
-        if host not in (None, "", "localhost"):
-            raise ValueError(f"a file address with a host: {host}")
-    if local:
+    scheme = F.lower(F.regexp_extract("uri", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    schemes = {r["s"] for r in table.select(scheme.alias("s")).distinct().limit(16).collect()}
+    if other := schemes - {"data", "http", "https", "file"}:
+        raise ValueError(f"unsupported addresses: {', '.join(sorted(other)) or 'without a scheme'}")
+    parts = [spread(table).where(F.col("uri").startswith("data:")).mapInPandas(data, INPUT)]
+    if schemes & {"http", "https"}:
+        parts.append(table.where(F.col("uri").rlike("(?i)^https?:")).repartition(tasks).mapInPandas(web, INPUT))
+    if "file" in schemes:
+        local = [uris.file_uri_to_path(r["uri"]) for r in table.where(scheme == "file").toLocalIterator()]
+        if bad := [host for host, _ in local if host not in (None, "", "localhost")]:
+            raise ValueError(f"a file address with a host: {bad[0]}")
         parts.append(named(spark.read.format("binaryFile").load([p for _, p in local])).select(*INPUT.names))
-    other = table.where(~F.col("uri").rlike("^(data:|https?:|file:)")).head(1)
-    if other:
-        raise ValueError(f"unsupported address: {other[0]['uri'][:100]}")
     return functools.reduce(DataFrame.unionByName, parts)
 
 
