@@ -8,7 +8,6 @@ scanned in one vectorised pass for each block, and every hash hit is compared wo
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import kernel
-from folio.runtime import ship, table
+from folio.runtime import ship, spread, table
 
 #: Words of a window.
 N = 10
@@ -110,7 +109,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "te
     spark = docs.sparkSession
     ship(spark)
     blocks = item_blocks(benchmark, item_id, item_text)
-    out = docs.drop("n_words", "hit_spans", "items")
+    out = spread(docs.drop("n_words", "hit_spans", "items"))
     kept = out.columns
     for k, block in enumerate(blocks):
         windows = spark.sparkContext.broadcast(Windows(block, n))

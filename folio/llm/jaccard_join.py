@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import kernel
 from folio.llm.graph import components
-from folio.runtime import scratch, ship, stash, table
+from folio.runtime import scratch, ship, spread, stash, table
 
 N = 5
 THRESHOLD = 0.8
@@ -111,7 +111,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             out = [(i, len(s), *_hashes(s), (s[:POOL] >> np.uint64(32)).astype(np.uint32).tobytes()) for i, s in zip(pdf["id"], gram_sets(list(pdf["text"]), n), strict=True)]
             yield pd.DataFrame(out, columns=["id", "size", "ha", "hb", "pool"])
 
-    return docs.mapInPandas(of, "id long, size int, ha long, hb long, pool binary")
+    return spread(docs).mapInPandas(of, "id long, size int, ha long, hb long, pool binary")
 
 
 def _as_pool(x: bytes) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.runtime import ship, table
+from folio.runtime import ship, spread, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*[F.col(f"`{c}`") for c in keep], predict(F.col(f"`{text}`")).alias("_p")).select(*[F.col(f"`{c}`") for c in keep], "_p.lang_pred", "_p.score")
+    return spread(docs).select(*[F.col(f"`{c}`") for c in keep], predict(F.col(f"`{text}`")).alias("_p")).select(*[F.col(f"`{c}`") for c in keep], "_p.lang_pred", "_p.score")
 
 
 def fold(row_id: str, folds: int) -> Column:

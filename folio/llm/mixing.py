@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import kernel
-from folio.runtime import drop_stash, ship, stash, table
+from folio.runtime import drop_stash, ship, spread, stash, table
 
 BUCKETS = 1 << 16
 #: Labelled rows that are learned from at most: a sample by hash of the id.
@@ -111,7 +111,7 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
         p, tokens = shared.value.posteriors(list(s))
         return pd.DataFrame({"tokens": tokens, "p": list(p)})
 
-    return docs.withColumn("_m", of(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_m.tokens").alias("_tokens"), F.col("_m.p").alias("_p"))
+    return spread(docs).withColumn("_m", of(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_m.tokens").alias("_tokens"), F.col("_m.p").alias("_p"))
 
 
 def _rate(steps: list[np.ndarray], least: float) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.runtime import ship
+from folio.runtime import ship, spread
 
 #: Pieces, and words, of which a worker remembers the counts: this many new ones, and the generation before.
 MEMO = 400_000
@@ -246,7 +246,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
         c = counter(tokenizer)
         return s.map(c.total, na_action=None).astype("int64")
 
-    return docs.withColumn(out, total(F.col(f"`{text}`")))
+    return spread(docs).withColumn(out, total(F.col(f"`{text}`")))
 
 
 def prefix_tables(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm.langid import fold
-from folio.runtime import drop_stash, ship, stash, table
+from folio.runtime import drop_stash, ship, spread, stash, table
 
 #: Labelled rows that are learned from at most: toxic, and other.
 FIT_TOXIC, FIT_OTHER = 6_000, 14_000
@@ -339,7 +339,7 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
         return pd.DataFrame({"toxicity": [g.score(len(t or ""), [x[2] for x in e], [x[3] for x in e]) for t, e in zip(s, got, strict=True)], "matches": [[f"{x[0]}:{x[1]}:{x[2]}" for x in e] for e in got]})
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("toxicity", "matches")]
-    return docs.select(*keep, of(F.col(f"`{text}`")).alias("_of")).select(*keep, "_of.toxicity", "_of.matches")
+    return spread(docs).select(*keep, of(F.col(f"`{text}`")).alias("_of")).select(*keep, "_of.toxicity", "_of.matches")
 
 
 def learned(spark, sf_dir: str) -> Grammar:
