@@ -23,33 +23,46 @@ from folio.runtime import ship, spread, table
 #: Words of a window.
 N = 10
 #: Bytes of item texts in one broadcast block: a larger benchmark is scanned for in more passes.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = bytes(range(256)).replace(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 class Windows:
-    """The windows of some items: by length, sorted hashes; by hash, the words and the items."""
+    """The windows of some items: for each length sorted hashes with item and first word, 16 bytes a window.
+
+    The items' words stay in their texts, from which a hit is verified.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.hashes: dict[int, np.ndarray] = {}
-        self.exact: dict[tuple[int, int], list[tuple[bytes, list[int]]]] = {}
         self.names = [i for i, _ in items]
-        found: dict[tuple[int, int], dict[bytes, set[int]]] = {}
-        for k, (_, text) in enumerate(items):
-            raw = (text or "").encode().translate(_LOWER)
-            words = _WORD.findall(raw)
-            if not words:
-                continue
-            size = min(n, len(words))
-            w = kernel.Words([raw])
-            for h, i in zip(*w.grams(size), strict=True):
-                found.setdefault((size, int(h)), {}).setdefault(b" ".join(words[i : i + size]), set()).add(k)
-        for (size, h), by_words in found.items():
-            self.exact[size, h] = [(words, sorted(ks)) for words, ks in by_words.items()]
-        for size in {s for s, _ in found}:
-            self.hashes[size] = np.array(sorted(h for s, h in found if s == size), np.uint64)
-        self.filters = {s: np.bincount((h & np.uint64(0xFFFFF)).astype(np.int64), minlength=1 << 20) > 0 for s, h in self.hashes.items()}
+        self.raw = [(t or "").encode().translate(_LOWER) for _, t in items]
+        self.spans: list[tuple[np.ndarray, np.ndarray]] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for lo, hi in kernel.blocks(self.raw):
+            w = kernel.Words(self.raw[lo:hi])
+            for k in range(hi - lo):
+                words = slice(w.first[k], w.first[k + 1])
+                self.spans.append(((w.start[words] - w.text_start[k]).astype(np.int32), (w.end[words] - w.text_start[k]).astype(np.int32)))
+            for size in {n, *(int(c) for c in w.count if 0 < c < n)}:
+                h, at = w.grams(size)
+                if size < n:  # of an item of so many words
+                    h, at = h[w.count[w.owner[at]] == size], at[w.count[w.owner[at]] == size]
+                if len(h):
+                    found.setdefault(size, []).append((h, (w.owner[at] + lo).astype(np.int32), (at - w.first[w.owner[at]]).astype(np.int32)))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.filters: dict[int, np.ndarray] = {}
+        for size, parts in found.items():
+            h, item, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.tables[size] = h[order], item[order], first[order]
+            bits = min(24, max(16, int(len(h) * 8).bit_length()))
+            self.filters[size] = np.zeros(1 << bits, bool)
+            self.filters[size][(h & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+
+    def words(self, item: int, first: int, size: int) -> list[bytes]:
+        starts, ends = self.spans[item]
+        return [self.raw[item][starts[j] : ends[j]] for j in range(first, first + size)]
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: its words, the merged ranges of hit words, and the items with occurring windows."""
@@ -57,19 +70,20 @@ class Windows:
         for lo, hi in kernel.blocks(texts):
             w = kernel.Words(texts[lo:hi])
             hits: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-            for size, known in self.hashes.items():
+            for size, (known, item, begin) in self.tables.items():
                 h, at = w.grams(size)
-                maybe = np.flatnonzero(self.filters[size][(h & np.uint64(0xFFFFF)).astype(np.int64)])
-                where = np.searchsorted(known, h[maybe])
-                maybe = maybe[known[np.minimum(where, len(known) - 1)] == h[maybe]]
-                for i in maybe:
+                mask = np.uint64(len(self.filters[size]) - 1)
+                maybe = np.flatnonzero(self.filters[size][(h & mask).astype(np.int64)])
+                left = np.searchsorted(known, h[maybe])
+                right = np.searchsorted(known, h[maybe], "right")
+                for i, a, b in zip(maybe[left < right], left[left < right], right[left < right], strict=True):
                     first = int(at[i])
-                    words = b" ".join(w.buf[w.start[j] : w.end[j]] for j in range(first, first + size))
-                    for known_words, ks in self.exact[size, int(h[i])]:
-                        if known_words == words:
-                            spans, items = hits.setdefault(int(w.owner[first]), ([], set()))
-                            spans.append((first, first + size))
-                            items.update(ks)
+                    words = [w.buf[w.start[j] : w.end[j]] for j in range(first, first + size)]
+                    ks = {int(item[x]) for x in range(a, b) if self.words(int(item[x]), int(begin[x]), size) == words}
+                    if ks:
+                        spans, items = hits.setdefault(int(w.owner[first]), ([], set()))
+                        spans.append((first, first + size))
+                        items |= ks
             for k in range(hi - lo):
                 if k not in hits:
                     yield int(w.count[k]), [], []
