@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from folio.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
 from folio.runtime import drop_stash, stash, table
 
-#: The token shares that the mixing stage aims at; it repeats documents, and drops none.
-WEIGHTS = {"high": 0.9, "low": 0.1}
+#: The token shares that the mixing stage aims at, of the two qualities; it repeats documents, and drops none.
+WEIGHTS = {"high": 0.93, "low": 0.07}
 #: Ids up to which the ids to drop are broadcast (a few dozen bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -126,24 +126,25 @@ def _rate(steps: list[np.ndarray], least: float) -> Column:
 def fit_rates(members: DataFrame, target: np.ndarray, least: float = 0.0, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """The steps of the descent for the target tokens of each domain.
 
-    The gradient is scaled by the inverse Gram matrix of the rows that are not at the bound, so that a round
-    without a new bound ends at the targets; a step that makes the residual larger is halved. Targets out
-    of reach end at the nearest that is reached within the rounds.
+    The gradient is scaled by the inverse Gram matrix of the rows that can move: those over the bound, and those
+    at it that the residual pulls up. So a round that meets no new bound ends at the targets; a step that
+    makes the residual larger is halved. Targets out of reach end at the nearest reached within the rounds.
     """
     k = len(target)
     scale = max(1.0, float(np.abs(target).sum()))
     steps: list[np.ndarray] = []
-    best, stride, step = np.inf, 1.0, None
+    best, stride, step, pull = np.inf, 1.0, None, np.full(k, -1.0)
     for _ in range(rounds + 1):
         trial = steps if step is None else [*steps, step * stride]
-        rows = members.select("_tokens", "_p", _rate(trial, least).alias("_r")).select("_tokens", "_p", "_r", (F.col("_r") > least).alias("_free"))
+        up = sum((F.get("_p", i) * float(v) for i, v in enumerate(pull)), F.lit(0.0)) < 0
+        rows = members.select("_tokens", "_p", _rate(trial, least).alias("_r")).select("_tokens", "_p", "_r", ((F.col("_r") > least) | up).alias("_free"))
         sums = [F.sum(F.col("_r") * F.col("_tokens") * F.get("_p", i)) for i in range(k)]
         gram = [F.sum(F.when(F.col("_free"), F.col("_tokens") * F.get("_p", i) * F.get("_p", j))) for i in range(k) for j in range(i + 1)]
         got = [float(x or 0.0) for x in rows.agg(*sums, *gram).first()]
         miss = (np.array(got[:k]) - target) / scale
         size = float(np.abs(miss).max())
         if size < best:
-            steps, best, stride = trial, size, 1.0
+            steps, best, stride, pull = trial, size, 1.0, miss
             if size <= tolerance:
                 break
             m = np.zeros((k, k))
@@ -160,8 +161,9 @@ def fit_rates(members: DataFrame, target: np.ndarray, least: float = 0.0, rounds
 def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None, least: float = 0.0, text: str = "text") -> DataFrame:
     """All columns of ``docs``, ``n_tokens``, a column ``p_<domain>`` each, and ``rate``.
 
-    ``weights``: the share of the tokens that each domain is to have, of ``total`` tokens (as many as there
-    are, if not given; with ``least`` over 0 at least as many as let every domain keep what it has).
+    ``weights``: the shares of the named domains in the ``total`` tokens that they are to have (as many as
+    they have, if not given; with ``least`` over 0 at least as many as let every one keep that share of what it
+    has). A domain without a weight is to keep what it has.
     Null and empty texts have no tokens and the prior as posterior. Rows that repeat get equal rates.
     Columns of these names are replaced. Empty input: no rows.
     """
@@ -171,13 +173,15 @@ def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: fl
     k = len(model.domains)
     got = members.agg(*[F.sum(F.col("_tokens") * F.get("_p", i)) for i in range(k)]).first()
     have = np.array([float(x or 0.0) for x in got])
+    named = np.array([d in weights for d in model.domains])
     w = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
-    w = w / w.sum() if w.sum() else np.full(k, 1 / k)
+    w = w / w.sum() if w.sum() else named / max(1, named.sum())
     if total is None:
-        total = float(have.sum())
+        total = float(have[named].sum())
         if least > 0:
             total = max([total, *(least * h / x for h, x in zip(have, w, strict=True) if x > 0)])
-    steps = fit_rates(members, w * total, least)
+    target = np.where(named, w * total, have * max(1.0, least))
+    steps = fit_rates(members, target, least)
     drop_stash(members)
     out = memberships(lean, model, text).withColumn("rate", _rate(steps, least))
     return out.select(*[F.col(f"`{c}`") for c in lean.columns], F.col("_tokens").alias("n_tokens"), *[F.get("_p", i).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate")

@@ -269,6 +269,10 @@ def test_rates_at_their_bound(spark):
     steps = mixing.fit_rates(df, target)
     rate = np.array([r[0] for r in df.select(mixing._rate(steps, 0.0)).collect()])
     assert np.allclose((rate[:, None] * tokens[:, None] * p).sum(0), target, rtol=1e-2) and rate.min() >= 0
+    more = have * [1.3, 1.5, 1.9]
+    steps = mixing.fit_rates(df, more, least=1.0)
+    rate = np.array([r[0] for r in df.select(mixing._rate(steps, 1.0)).collect()])
+    assert np.allclose((rate[:, None] * tokens[:, None] * p).sum(0), more, rtol=1e-2) and rate.min() >= 1
     low = mixing.fit_rates(df, target, least=1.0)
     assert min(r[0] for r in df.select(mixing._rate(low, 1.0)).collect()) >= 1.0
 
@@ -546,6 +550,7 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in clean.collect()} == want
     mixed = stash(cp.mix_sources(spark, clean, SMALL), "m")
     assert {r["doc_id"] for r in mixed.collect()} == want and mixed.columns == docs.columns
+    assert mixed.count() > len(want)  # the mixture takes effect by repeating documents
     out = cp.to_shards(spark, mixed, SMALL)
     assert out.count() == mixed.count() and {"shard", "slot"} <= set(out.columns)
 
