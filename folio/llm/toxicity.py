@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
                 if fs := sorted(_features(t)):
                     yield pd.DataFrame({"f": fs, "k": _group(t)})
 
-    borne = sample.where("y = 1").mapInPandas(of_toxic, "f string, k long").groupBy("f").agg(F.approx_count_distinct("k", 0.02).alias("n")).where(F.col("n") >= SUPPORT)
+    borne = sample.where("y = 1").mapInPandas(of_toxic, "f string, k long").distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
     toxic = {r["f"]: r["n"] for r in borne.collect()}  # features of a bounded sample
     wanted = spark.sparkContext.broadcast(frozenset(toxic))
 
@@ -277,8 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
 
     @F.pandas_udf(T.StructType([T.StructField("m", T.ArrayType(T.StringType())), T.StructField("k", T.LongType())]))
     def members(s: pd.Series) -> pd.DataFrame:
-        fs = [_features(t) for t in s]
-        return pd.DataFrame({"m": [sorted(f & telling.value) for f in fs], "k": [_group(t) for t in s]})
+        return pd.DataFrame({"m": [sorted(_features(t) & telling.value) for t in s], "k": [_group(t) for t in s]})
 
     texts = {r["m"]["k"]: list(r["m"]["m"]) for r in sample.where("y = 1").select(members("t").alias("m")).toLocalIterator()}
     taken = _cover([texts[k] for k in sorted(texts)], toxic, times)
