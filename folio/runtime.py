@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -20,8 +21,11 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
     Nothing happens when PYTHONPATH already names the repository or when Spark runs in the
-    repository folder itself; otherwise a zip of the sources goes out with ``addPyFile`` once.
+    repository folder itself; otherwise a zip of the sources goes out with ``addPyFile`` once. Arrow
+    batches get at most 1000 rows, unless the session says otherwise.
     """
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":  # the default is for short rows; texts fill a worker's memory
+        spark.conf.set(ARROW_ROWS, "1000")
     root = str(_PACKAGE.parent)
     here = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
