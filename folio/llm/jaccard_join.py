@@ -48,7 +48,7 @@ LOCAL_LINKS = 1_000_000
 #: The id that a null id counts as.
 NULL_ID = -(1 << 63)
 #: Sets in one block of the exact comparison.
-BLOCK = 512
+BLOCK = 256
 
 
 def runs(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = 1) -> int:
