@@ -413,6 +413,19 @@ def test_lines_hot_bands(spark, monkeypatch):
     assert line_dedup.removals(frame(spark, [])).count() == 0 and line_dedup.removals(frame(spark, ODD)).count() >= 0
 
 
+def test_lines_of_one_template(spark):
+    """Bands that mix many families: no line is left to the band's first line alone."""
+    from folio.llm import line_dedup
+
+    rng = random.Random(8)
+    rows, template = [], prose(rng, 16)
+    for k in range(150):
+        own = prose(rng, 8)
+        rows += [(2 * k, f"{template} {own}"), (2 * k + 1, f"{template} {own} {rng.choice(WORDS)}")]
+    rows += [(1000 + k, f"Section {k % 40} of The terms".upper() if k >= 40 else f"Section {k % 40} of The terms") for k in range(80)]
+    assert {r["id"]: r["removed"] for r in line_dedup.removals(frame(spark, rows)).collect()} == brute_lines(rows)
+
+
 # -- 8: fingerprints --------------------------------------------------------------------------------
 
 
