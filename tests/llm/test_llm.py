@@ -426,6 +426,21 @@ def test_lines_of_one_template(spark):
     assert {r["id"]: r["removed"] for r in line_dedup.removals(frame(spark, rows)).collect()} == brute_lines(rows)
 
 
+def test_lines_short_and_blankless(spark):
+    from folio.llm import line_dedup
+
+    rng = random.Random(9)
+    rows, n = [], 0
+    for alphabet, size in (("abcdefghijklmnopqrstuvwxyz0123456789/-", 70), ("".join(map(chr, range(0x4E00, 0x5000))), 60), ("abcdefgh ", 24)):
+        for _ in range(60):
+            line = "https://" * (size == 70) + "".join(rng.choice(alphabet) for _ in range(size))
+            at = rng.randrange(len(line)) if size > 40 else len(line) - 1
+            rows += [(n, line), (n + 1, line[:at] + "#" + line[at + 1 :])]
+            n += 2
+    want, got = brute_lines(rows), {r["id"]: r["removed"] for r in line_dedup.removals(frame(spark, rows)).collect()}
+    assert len(want) > 150 and set(got) <= set(want) and len(got) >= 0.99 * len(want)
+
+
 # -- 8: fingerprints --------------------------------------------------------------------------------
 
 
