@@ -50,8 +50,8 @@ def mentions(text: Column) -> Column:
 
 
 def hinted(text: Column) -> Column:
-    """A cheap test that every text with a mention passes: a sign, a digit, a word or a title."""
-    out = text.contains("@") | text.rlike("[0-9]")
+    """A cheap test that every text with a mention passes: a sign, a digit, the start of a key, a word or a title."""
+    out = text.contains("@") | text.rlike("[0-9]") | text.contains("AKIA") | text.contains("ASIA")
     for word in SECRET_WORDS:
         out = out | text.contains(word)
     return out | text.rlike(TITLE)
