@@ -18,13 +18,13 @@ from folio.runtime import drop_stash, scratch, stash, table
 # What a mention looks like, in the order in which alternatives are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
-    "secret": r"(?<![\p{L}])(?:password|passwd|secret|api_key|apikey|access_token|auth_token|token)[\"']?(?:\s{0,3}[=:]\s{0,3})[\"']?[^\s\"']{6,256}",
+    "secret": r"(?<![\p{L}])(?i:password|passwd|secret|api_key|apikey|access_token|auth_token|token)[\"']?(?:\s{0,3}[=:]\s{0,3})[\"']?[^\s\"']{6,256}",
     "key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9\-])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![0-9\-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{3,4}|(?:\+[0-9]{1,3}[ .\-]?[0-9]|0[0-9])(?:[ .\-][0-9]{2}){4}|\+[1-9][0-9]{7,14})(?![0-9])",
     "token": r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа)\.? (?:(?!(?:Mrs?|Ms|Miss|Mister|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\b)(?!\S*@)\p{Lu}\p{Ll}{1,30}[ \-]?){1,3}(?<=\p{Ll})",
 }
@@ -52,9 +52,7 @@ def mentions(text: Column) -> Column:
 def hinted(text: Column) -> Column:
     """A cheap test that every text with a mention passes: a sign, a digit, the start of a key, a word or a title."""
     out = text.contains("@") | text.rlike("[0-9]") | text.contains("AKIA") | text.contains("ASIA")
-    for word in SECRET_WORDS:
-        out = out | text.contains(word)
-    return out | text.rlike(TITLE)
+    return out | text.rlike(f"(?i){'|'.join(SECRET_WORDS)}") | text.rlike(TITLE)
 
 
 def kind_of(mention: Column) -> Column:

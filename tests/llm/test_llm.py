@@ -218,6 +218,15 @@ def test_hint_passes_every_mention(spark):
     assert [k for k, t in enumerate(rows) if got[k]["n_entities"] != 1 or got[k]["text"] == t] == []
 
 
+def test_more_secrets_and_phones(spark):
+    from folio.llm.pii import replace_entities
+
+    rows = ["API_KEY=abcd1234efgh", "DB_PASSWORD=hunter22", "Password: hunterxy", "+14155552671", "+33 6 12 34 56 78", "06 12 34 56 78"]
+    got = {r["doc_id"]: r for r in replace_entities(frame(spark, list(enumerate(rows)))).collect()}
+    assert [k for k, t in enumerate(rows) if got[k]["n_entities"] != 1 or got[k]["text"] == t] == []
+    assert got[1]["text"].startswith("DB_PASSWORD=") and re.fullmatch(r"\+33 \d( \d\d){4}|\+\d\d \d( \d\d){4}", got[4]["text"])
+
+
 # -- 4: toxicity ----------------------------------------------------------------------------------
 
 
