@@ -7,10 +7,18 @@ A run starts with all sets in one bucket. A bucket is split by tokens: a set goe
 pool that a hash of the run and the path so far picks, on average 1/LAMBDA tokens, so that similar sets
 mostly go on together along some path and others part. Buckets of one set end; those up to LIMIT are
 brute-forced on the pools; in a larger one the sets are held against a few pivots, near ones are linked to
-them, the nearest leave, and the others are split again. Runs repeat until the target recall.
+them, the nearest leave, and the others are split again.
+
+A pair at the threshold shares a path of a given depth with a probability that follows from the branching
+(:func:`survival`). Runs repeat until the target recall holds at the depth that was really reached: those
+of the first level for all sets, further ones for the sets that stood in large buckets. A pair of which one set
+never did so met all its chances in brute-forced buckets of the first level.
 
 The links found so, with a generous threshold, only tell which sets may belong together. The whole sets of
-every group of such are then compared exactly, block against block, and the links counted.
+every group of such are then compared exactly and the links counted. A group that exceeds a block is first held
+to a centre, the grams that most of a few members have: by the triangle inequality of the Jaccard distance,
+what is very near the centre is similar, and what differs much in its distance is not. Only the slabs of
+distance between which neither is certain are compared, block against block.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import kernel
@@ -45,16 +53,28 @@ LOOSE, CLOSE = 0.35, 0.7
 LEAF_LOOSE, LEAF_CLOSE = 0.6, 0.95
 #: Links up to which one task joins them (16 bytes each); more go through the distributed stars.
 LOCAL_LINKS = 1_000_000
-#: The id that a null id counts as.
-NULL_ID = -(1 << 63)
-#: Sets in one block of the exact comparison.
-BLOCK = 256
+#: Sets, and bytes of their grams, in one block of the exact comparison.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Levels of distance from a group's centre, and members that the centre is made of.
+LEVELS, CENTRE = 200, 16
+#: Slack of the similarity test.
+SLACK = 1e-9
+
+
+def survival(threshold: float = THRESHOLD, levels: int = 1) -> float:
+    """Probability that a pair at the threshold still shares a path ``levels`` down in one run.
+
+    A shared path has a Poisson number of shared ones below it: a branching process.
+    """
+    lost = 0.0
+    for _ in range(levels - 1):
+        lost = math.exp(-threshold / LAMBDA * (1 - lost))
+    return 1 - math.exp(-threshold / FIRST_LAMBDA * (1 - lost))
 
 
 def runs(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = 1) -> int:
     """Runs after which a pair at the threshold was together, ``levels`` down, with the probability ``recall``."""
-    stays = (1 - math.exp(-threshold / FIRST_LAMBDA)) * (1 - math.exp(-threshold / LAMBDA)) ** (levels - 1)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, levels))))
 
 
 def in_groups(frames, key: str):
@@ -104,14 +124,14 @@ def _hashes(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """row id, size and two hashes of the set, and the pool, of each row (columns id, text)."""
+    """id, size and two hashes of the set, and the pool, of each row (columns id, text)."""
 
-    def of(frames):
-        for pdf in frames:
-            out = [(i, len(s), *_hashes(s), (s[:POOL] >> np.uint64(32)).astype(np.uint32).tobytes()) for i, s in zip(pdf["id"], gram_sets(list(pdf["text"]), n), strict=True)]
-            yield pd.DataFrame(out, columns=["id", "size", "ha", "hb", "pool"])
+    @F.pandas_udf("size int, ha long, hb long, pool binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = [(len(s), *_hashes(s), (s[:POOL] >> np.uint64(32)).astype(np.uint32).tobytes()) for s in gram_sets(list(texts), n)]
+        return pd.DataFrame(out, columns=["size", "ha", "hb", "pool"])
 
-    return spread(docs).mapInPandas(of, "id long, size int, ha long, hb long, pool binary")
+    return spread(docs).select("id", of("text").alias("s")).select("id", "s.*")
 
 
 def _as_pool(x: bytes) -> np.ndarray:
@@ -133,19 +153,23 @@ def _pick(pool: bytes, path: int, seed: int, rate: float) -> np.ndarray:
     return kernel.mix(h[h < np.uint64(min(1.0, rate) * (2**64 - 2048))] + np.uint64(1)).view(np.int64)
 
 
-def _near(pool: np.ndarray, pools: list[np.ndarray]) -> np.ndarray:
-    """Estimated Jaccard similarity of one pool to others: over the hashes in the range that both cover."""
-    sizes = np.array([len(p) for p in pools])
-    flat = np.concatenate(pools)
-    top = np.array([p[-1] if len(p) == POOL else 0xFFFFFFFF for p in pools], np.uint32)
+def _near(pool: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of one pool to others (end to end): over the hashes in the range that both cover."""
+    ends = np.cumsum(sizes)
+    top = np.where(sizes == POOL, flat[ends - 1], np.uint32(0xFFFFFFFF))
     if len(pool) == POOL:
         top = np.minimum(top, pool[-1])
-    own = np.repeat(np.arange(len(pools)), sizes)
+    own = np.repeat(np.arange(len(sizes)), sizes)
     inside = flat <= top[own]
     at = np.searchsorted(pool, flat)
     hit = inside & (pool[np.minimum(at, len(pool) - 1)] == flat)
-    both = np.bincount(own[hit], minlength=len(pools))
-    return both / np.maximum(1, np.searchsorted(pool, top, "right") + np.bincount(own[inside], minlength=len(pools)) - both)
+    both = np.bincount(own[hit], minlength=len(sizes))
+    return both / np.maximum(1, np.searchsorted(pool, top, "right") + np.bincount(own[inside], minlength=len(sizes)) - both)
+
+
+def _laid(pools) -> tuple[np.ndarray, np.ndarray]:
+    """Pools end to end, and the length of each."""
+    return _as_pool(b"".join(pools)), np.array([len(p) // 4 for p in pools])
 
 
 class _Sets:
@@ -167,70 +191,117 @@ class _Sets:
         return a != b
 
 
-def _leaf(ids: np.ndarray, pools: list[np.ndarray]) -> list[tuple[int, int]]:
+class _Forest:
+    """Union-find over any numbers."""
+
+    def __init__(self):
+        self.number: dict[int, int] = {}
+        self.sets = _Sets(0)
+
+    def of(self, x: int) -> int:
+        i = self.number.get(x)
+        if i is None:
+            i = self.number[x] = len(self.number)
+            self.sets.up.append(i)
+        return i
+
+    def join(self, x: int, y: int) -> bool:
+        return self.sets.join(self.of(x), self.of(y))
+
+
+def _leaf(ids: np.ndarray, pools: list[bytes]) -> list[tuple[int, int]]:
     """Brute force in a small bucket: links enough to join what is near."""
     out, gone, sets = [], np.zeros(len(ids), bool), _Sets(len(ids))
+    flat, sizes = _laid(pools)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
     for i in range(len(ids) - 1):
         if gone[i]:
             continue
-        near = _near(pools[i], pools[i + 1 :])
+        near = _near(flat[starts[i] : starts[i + 1]], flat[starts[i + 1] :], sizes[i + 1 :])
         gone[i + 1 :] |= near >= LEAF_CLOSE
         out += [(ids[i], ids[j]) for j in (np.flatnonzero(near >= LEAF_LOOSE) + i + 1).tolist() if sets.join(i, j)]
     return out
 
 
 def _leaves(frames):
+    """Links of all buckets of a task; what is joined already needs no further link."""
+    forest = _Forest()
     for groups in in_groups(frames, "path"):
         links = []
         for g in groups:
             ids = g["id"].to_numpy()
             if len(ids) > 1:
-                links += _leaf(ids, [_as_pool(p) for p in g["pool"]])
+                links += [x for x in _leaf(ids, list(g["pool"])) if forest.join(int(x[0]), int(x[1]))]
         yield pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
 
-def candidate_links(sets: DataFrame, recall: float, threshold: float) -> DataFrame:
-    """u, v: links by pools that join, in the end, all sets that may be similar (columns id, pool)."""
-    links: list[DataFrame] = []
-    starts = list(range(1, runs(recall, threshold) + 1))
+def _holder(level: int):
+    """Links of the rows of large buckets to their pivots (path null), and where a row that is close to none goes on."""
 
+    def hold(frames):
+        forest = _Forest()
+        for pdf in frames:
+            links, on = [], []
+            for path, g in pdf.groupby("path", sort=False):
+                ids, pools, pids = g["id"].tolist(), list(g["pool"]), g["pids"].iloc[0]
+                flat, sizes = _laid(pools)
+                near = np.stack([_near(_as_pool(p), flat, sizes) for p in g["ppools"].iloc[0]])
+                links += [(ids[j], int(pids[k])) for k, j in zip(*np.nonzero(near >= LOOSE), strict=True) if forest.join(ids[j], int(pids[k]))]
+                on += [(int(p), ids[j]) for j in np.flatnonzero(near.max(axis=0) < CLOSE).tolist() for p in _pick(pools[j], int(path), level, 1 / LAMBDA)]
+            rows = [(None, u, v) for u, v in links] + [(p, i, None) for p, i in on]
+            yield pd.DataFrame({"path": pd.array([x[0] for x in rows], "Int64"), "id": pd.array([x[1] for x in rows], "int64"), "pid": pd.array([x[2] for x in rows], "Int64")})
+
+    return hold
+
+
+def _starter(starts: list[int]):
     def first(frames):
         for pdf in frames:
             chosen = [np.concatenate([_pick(p, s, 0, 1 / FIRST_LAMBDA) for s in starts]) for p in pdf["pool"]]
             n = [len(c) for c in chosen]
             yield pd.DataFrame({"path": np.concatenate(chosen) if chosen else np.empty(0, np.int64), "id": np.repeat(pdf["id"].to_numpy(), n)})
 
-    state, level = sets.mapInPandas(first, "path long, id long"), 0
+    return first
+
+
+def descend(sets: DataFrame, starts: list[int]) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """The links of the runs ``starts``, the ids that stood in large buckets of the first level, and the depth reached."""
+    links: list[DataFrame] = []
+    state, level, deep = sets.mapInPandas(_starter(starts), "path long, id long"), 0, None
     while True:
         level += 1
         limit = min(MOST, LIMIT << level - 1)
         state = stash(state, f"paths{level}")
-        sizes = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # a written table: the join below then has an exchange of its own on either side, which Spark splits where a path is hot
+        sizes = stash(state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{level}")
         state = stash(state.join(sizes, "path"), f"buckets{level}")
         small = state.where(F.col("n") <= limit).join(sets, "id").select("path", "id", "pool")
-        links.append(stash(small.repartition("path").sortWithinPartitions("path", "id").mapInPandas(_leaves, "u long, v long").distinct(), f"links{level}"))
+        links.append(stash(small.repartition("path").sortWithinPartitions("path", "id").mapInPandas(_leaves, "u long, v long"), f"links{level}"))
         large = state.where(F.col("n") > limit)
         if large.isEmpty():
-            break
+            return links, deep, level
+        if deep is None:
+            deep = stash(large.select("id").distinct(), "deep")
         # a few pivots for each large bucket, to which all its rows are held where they lie
         large = large.join(sets, "id").select("path", "id", "pool")
         pivots = large.groupBy("path").agg(*[F.min_by(F.struct("id", "pool"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-        pivots = pivots.select("path", F.array(*[f"p{k}.id" for k in range(PIVOTS)]).alias("pids"), F.array(*[f"p{k}.pool" for k in range(PIVOTS)]).alias("ppools"))
-
-        def hold(frames, seed=level):
-            """Links to the pivots (path null), and where each row that is close to none goes on."""
-            for pdf in frames:
-                out = []
-                for path, i, pool, pids, ppools in zip(pdf["path"], pdf["id"], pdf["pool"], pdf["pids"], pdf["ppools"], strict=True):
-                    near = _near(_as_pool(pool), [_as_pool(p) for p in ppools])
-                    out += [(None, i, int(pids[k])) for k in np.flatnonzero(near >= LOOSE) if pids[k] != i]
-                    if near.max() < CLOSE:
-                        out += [(int(p), i, None) for p in _pick(pool, int(path), seed, 1 / LAMBDA)]
-                yield pd.DataFrame({"path": pd.array([x[0] for x in out], "Int64"), "id": [x[1] for x in out], "pid": pd.array([x[2] for x in out], "Int64")})
-
-        held = stash(large.join(pivots, "path").mapInPandas(hold, "path long, id long, pid long"), f"held{level}")
-        links.append(held.where("path is null").select(F.col("id").alias("u"), F.col("pid").alias("v")).distinct())
+        pivots = stash(pivots.select("path", F.array(*[f"p{k}.id" for k in range(PIVOTS)]).alias("pids"), F.array(*[f"p{k}.pool" for k in range(PIVOTS)]).alias("ppools")), f"pivots{level}")
+        held = stash(large.join(pivots, "path").mapInPandas(_holder(level), "path long, id long, pid long"), f"held{level}")
+        links.append(held.where("path is null").select(F.col("id").alias("u"), F.col("pid").alias("v")))
         state = held.where("path is not null").select("path", "id").distinct()
+
+
+def candidate_links(sets: DataFrame, recall: float, threshold: float) -> DataFrame:
+    """u, v: links by pools that join, in the end, all sets that may be similar (columns id, pool)."""
+    done, depth, links, among = 0, 1, [], sets
+    while done < (wanted := runs(recall, threshold, depth)):
+        found, deep, reached = descend(among, list(range(done + 1, wanted + 1)))
+        links += found
+        if deep is None:
+            break
+        if not done:
+            among = stash(sets.join(deep, "id", "left_semi"), "deeppools")
+        done, depth = wanted, max(depth, reached)
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
@@ -244,17 +315,12 @@ def joined(links: DataFrame) -> DataFrame:
         return components(links)
 
     def join(frames):
-        number: dict[int, int] = {}
-        sets = _Sets(0)
+        forest = _Forest()
         for pdf in frames:
             for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
-                for x in (u, v):
-                    if x not in number:
-                        number[x] = len(number)
-                        sets.up.append(number[x])
-                sets.join(number[u], number[v])
+                forest.join(u, v)
         least: dict[int, int] = {}
-        roots = {x: sets.root(i) for x, i in number.items()}
+        roots = {x: forest.sets.root(i) for x, i in forest.number.items()}
         for x, r in roots.items():
             least[r] = min(x, least.get(r, x))
         yield pd.DataFrame({"node": list(roots), "component": [least[r] for r in roots.values()]}).astype("int64")
@@ -262,22 +328,24 @@ def joined(links: DataFrame) -> DataFrame:
     return links.coalesce(1).mapInPandas(join, "node long, component long")
 
 
-def _compare(g: pd.DataFrame, n: int, threshold: float) -> list[tuple[int, int, int]]:
-    """Exact similarities between two blocks of a group, or within one.
+# -- the exact comparison -------------------------------------------------------------------------
+
+
+def _as_set(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
+
+
+def _compare(g: pd.DataFrame, threshold: float) -> list[tuple[int, int, int]]:
+    """Exact similarities between two blocks of a group (``side`` 0 and 1), or within one (all on side 0).
 
     (key, key, links): the links that a set has there; (key, other, 0): links that join what is similar.
     """
-    sets = list(gram_sets(list(g["text"]), n))
-    seen: set[int] = set()
-    use = []
-    for i, (key, a, b) in enumerate(zip(g["key"], g["ha"], g["hb"], strict=True)):
-        if key not in seen and _hashes(sets[i]) == (a, b):  # an id may have several texts
-            seen.add(key)
-            use.append(i)
-    keys, copies, block = (g[c].to_numpy()[use] for c in ("key", "copies", "block"))
-    sets = [sets[i] for i in use]
-    size, lo_block, hi_block = np.array([len(s) for s in sets]), g["a"].iloc[0], g["b"].iloc[0]
-    left, right = np.flatnonzero(block == lo_block), np.flatnonzero(block == hi_block)
+    g = g.drop_duplicates("key")  # rows may repeat
+    keys, copies, side = (g[c].to_numpy() for c in ("key", "copies", "side"))
+    sets = [_as_set(x) for x in g["grams"]]
+    size = np.array([len(s) for s in sets])
+    within = not side.any()
+    left, right = np.flatnonzero(side == 0), np.arange(len(g)) if within else np.flatnonzero(side)
     if not len(left) or not len(right):
         return []
     flat, own = np.concatenate([sets[j] for j in right]), np.repeat(np.arange(len(right)), size[right])
@@ -292,63 +360,141 @@ def _compare(g: pd.DataFrame, n: int, threshold: float) -> list[tuple[int, int,
             continue
         where = np.repeat(at - (np.cumsum(hits) - hits), hits) + np.arange(total)
         both = np.bincount(own[where], minlength=len(right))
-        j = right[both >= threshold * (size[i] + size[right] - both) - 1e-9]
-        j = j[j > i] if lo_block == hi_block else j
+        j = right[both >= threshold * (size[i] + size[right] - both) - SLACK]
+        j = j[j > i] if within else j
         count[i] += copies[j].sum()
         count[j] += copies[i]
         out += [(keys[i], keys[k], 0) for k in j.tolist() if join.join(int(i), k)]
     return out + [(k, k, c) for k, c in zip(keys, count, strict=True) if c]
 
 
-def _compared(n: int, threshold: float):
+def _compared(threshold: float):
     def of(frames):
         for groups in in_groups(frames, "group"):
-            yield pd.DataFrame([x for g in groups for x in _compare(g, n, threshold)], columns=["u", "v", "n"]).astype("int64")
+            yield pd.DataFrame([x for g in groups for x in _compare(g, threshold)], columns=["u", "v", "n"]).astype("int64")
 
     return of
 
 
+def _centre(g: pd.DataFrame) -> pd.DataFrame:
+    """The grams that at least half of a few members have."""
+    h, n = np.unique(np.concatenate([_as_set(x) for x in g["grams"]]), return_counts=True)
+    return pd.DataFrame({"component": [g["component"].iloc[0]], "centre": [h[2 * n >= len(g)].tobytes()]})
+
+
+def _distance(grams: pd.Series, centre: pd.Series) -> pd.Series:
+    """Exact Jaccard distance; to an empty centre, where there is none, 1."""
+    out = []
+    for x, c in zip(grams, centre, strict=True):
+        s, m = _as_set(x), _as_set(c or b"")
+        both = len(np.intersect1d(s, m, assume_unique=True))
+        out.append(1 - both / max(1, len(s) + len(m) - both))
+    return pd.Series(out, dtype="float64")
+
+
+def _blocks(n: Column, grams: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(grams * 8 / BLOCK_BYTES)).cast("int")
+
+
+def large_groups(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Comparisons left to do, and what is certain without any, in groups over one block.
+
+    ``members``: key, component, copies, size, n (of the group), grams. The first table has the rows of
+    :func:`_compared` (group, key, copies, side, grams); the second key, n (links) and other (a similar set, or null).
+    """
+    share = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) * F.col("n") < CENTRE * (1 << 20)
+    centres = stash(members.where(share).select("component", "grams").groupBy("component").applyInPandas(_centre, "component long, centre binary"), "centres")
+    far = stash(members.join(centres, "component", "left").withColumn("d", F.pandas_udf(_distance, "double")("grams", "centre")).drop("centre").dropDuplicates(["key"]), "distances")
+    # adjacent levels of distance make a slab of about a block or more; a table of at most LEVELS + 1 rows a group
+    level = F.floor(F.col("d") * LEVELS).cast("int")
+    levels = far.groupBy("component", level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.sum("copies").alias("copies"), F.min("d").alias("near"), F.max("d").alias("far"), F.min("key").alias("first"))
+    before = Window.partitionBy("component").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.greatest(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK, F.coalesce(F.sum("grams").over(before), F.lit(0)) * 8 / BLOCK_BYTES)
+    levels = stash(levels.withColumn("slab", F.floor(held).cast("int")), "levels")
+    slabs = levels.groupBy("component", "slab").agg(*[F.sum(c).alias(c) for c in ("n", "grams", "copies")], F.min("near").alias("near"), F.max("far").alias("far"), F.min("first").alias("first"))
+    slabs = stash(slabs.withColumn("blocks", _blocks(F.col("n"), F.col("grams"))), "slabs")
+    a, b = slabs.alias("a"), slabs.select("component", *[F.col(c).alias(f"b_{c}") for c in ("slab", "copies", "near", "far", "first", "blocks")]).alias("b")
+    pairs = a.join(b, "component")
+    sure = F.col("far") + F.col("b_far") <= 1 - threshold - SLACK
+    apart = F.greatest(F.col("near") - F.col("b_far"), F.col("b_near") - F.col("far")) > 1 - threshold + SLACK
+    # certain links of a slab, and the first set of its group's nearest slab, which is similar to all of it if anything is
+    known = pairs.where(sure).groupBy("component", "slab").agg(F.sum("b_copies").alias("more"), F.min_by("b_first", "b_slab").alias("hub"))
+    place = levels.select("component", "level", "slab")
+    whose = far.withColumn("level", level).join(place, ["component", "level"]).drop("level")
+    certain = whose.join(known, ["component", "slab"]).select("key", (F.col("more") - F.col("copies")).alias("n"), F.when(F.col("hub") != F.col("key"), F.col("hub")).alias("other"))
+    # uncertain pairs of slabs: each set goes to the blocks that it has to meet
+    todo = pairs.where(~sure & ~apart).select("component", "slab", "blocks", "b_slab", "b_blocks")
+    block = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = whose.join(todo, ["component", "slab"]).withColumn("block", block).withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
+    own, other = F.struct("slab", "block"), F.struct(F.col("b_slab").alias("slab"), F.col("b_block").alias("block"))
+    lo, hi = F.least(own, other), F.greatest(own, other)
+    side = F.when(own == lo, 0).otherwise(1)
+    return dealt.select(F.xxhash64("component", lo, hi).alias("group"), "key", "copies", side.alias("side"), "grams"), certain
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """doc_id, copy_id, class_id and n_links for every row of ``docs``.
+    """doc_id, copy_id, class_id and n_links for every row of ``docs``; ids of any type that has an order.
 
     copy_id: the least id with the same n-gram set. class_id: the least id that links lead to. n_links: rows
     of other ids at or over the threshold, copies included. Texts without words, null or not, link to
     nothing and are classes of their own. Rows that repeat an id count as one if their sets agree; an id with
     several texts gets a row for each. Null ids are one id, less than all others. Empty input: no rows.
 
-    A group of n similar sets costs n*n/2 comparisons, dealt in blocks over tasks, but gives rows only for
-    its n members.
+    A group of n similar sets gives rows only for its n members; of the comparisons in it those remain that
+    the distances from its centre leave open.
     """
     ship(docs.sparkSession)
     with scratch() as keep:
-        lean = docs.select(F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+        # a struct orders null ids first, and counts them as one
+        known = F.struct(F.col(f"`{row_id}`").isNotNull().alias("known"), F.col(f"`{row_id}`").alias("value"))
+        lean = docs.select(known.alias("id"), F.col(f"`{text}`").alias("text"))
         sets = keep(stash(_sets(lean, n), "sets"))
         worded = sets.where("size > 0")
-        classes = stash(worded.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "classes")
+        classes = worded.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.any_value("pool").alias("pool"), F.any_value("size").alias("size"))
         # an id may have several texts: a class is known by its hash, and by the least id in the result
-        member = {"key": F.xxhash64("ha", "hb")}
-        pools = worded.join(classes, ["ha", "hb"]).where("id = rep").withColumns(member).dropDuplicates(["key"])
-        links = candidate_links(stash(pools.select(F.col("key").alias("id"), "pool"), "pools"), recall, threshold)
+        classes = stash(classes.withColumn("key", F.xxhash64("ha", "hb")), "classes")
+        links = candidate_links(classes.select(F.col("key").alias("id"), "pool").dropDuplicates(["id"]), recall, threshold)
         groups = stash(joined(links), "groups")
 
-        # the whole sets of each group, block against block
-        counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-        placed = groups.join(counts, "component").select(F.col("node").alias("key"), "component", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).alias("block"))
-        chosen = placed.join(classes.withColumns(member), "key").select("key", "component", "blocks", "block", F.col("rep").alias("id"), "copies", "ha", "hb")
-        whole = lean.join(chosen, "id").groupBy("key", "component", "blocks", "block", "copies", "ha", "hb", F.xxhash64("text").alias("_t")).agg(F.min("text").alias("text"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("a"), F.greatest("block", k).alias("b")))
-        dealt = whole.withColumn("p", F.explode(pairs)).select("key", "copies", "ha", "hb", "block", "text", "p.a", "p.b", F.xxhash64("component", "p.a", "p.b").alias("group"))
-        found = stash(dealt.repartition("group").sortWithinPartitions("group", "key").mapInPandas(_compared(n, threshold), "u long, v long, n long"), "found")
-        degree = found.where("u = v").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("more"))
-        classed = joined(found.where("u <> v").select("u", "v"))
-        by_key = classes.withColumns(member).join(classed.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-        by_key = by_key.withColumn("component", F.coalesce("component", "key"))
-        least = by_key.groupBy("component").agg(F.min("rep").alias("class_id"))
-        of = keep(stash(by_key.join(least, "component").select("ha", "hb", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "classof"))
-    out = worded.join(of, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "copy_id", "class_id", "n_links")
-    alone = sets.where("size = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    ids = [F.nullif(F.col(c), F.lit(NULL_ID)).alias(c) for c in ("doc_id", "copy_id", "class_id")]
-    return out.unionByName(alone).select(*ids, "n_links")
+        # the whole sets of each group, made once
+        placed = groups.withColumnRenamed("node", "key").join(classes.drop("pool"), "key")
+        counts = stash(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")), "groupsizes")
+        counts = counts.select("component", "n", (_blocks(F.col("n"), F.col("grams")) > 1).alias("large"))
+        chosen = placed.join(counts, "component").select("key", "component", "n", "large", F.col("rep.known").alias("known"), F.col("rep.value").alias("value"), "copies", "size", "ha", "hb")
+        same = (F.col("t.id.known") == F.col("c.known")) & F.col("t.id.value").eqNullSafe(F.col("c.value"))
+        members = stash(_whole(lean.alias("t").join(chosen.alias("c"), same).select("text", "c.*").drop("known", "value"), n), "members")
+        large = members.where("large")
+        dealt, certain = members.where("not large").select(F.col("component").alias("group"), "key", "copies", F.lit(0).alias("side"), "grams"), None
+        if not large.isEmpty():
+            more, certain = large_groups(large, threshold)
+            dealt = dealt.unionByName(more)
+            certain = stash(certain, "certain")
+        found = stash(dealt.repartition("group").sortWithinPartitions("group", "key").mapInPandas(_compared(threshold), "u long, v long, n long"), "found")
+        pairs, degree = found.where("u <> v").select("u", "v"), found.where("u = v").select(F.col("u").alias("key"), "n")
+        if certain is not None:
+            pairs = pairs.unionByName(certain.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")))
+            degree = degree.unionByName(certain.select("key", "n"))
+        degree = degree.groupBy("key").agg(F.sum("n").alias("more"))
+        by_key = classes.join(joined(pairs).withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+        by_key = stash(by_key.withColumn("component", F.coalesce("component", "key")).drop("pool"), "bykey")
+        least = by_key.groupBy("component").agg(F.min("rep").alias("class"))
+        links_of = (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")
+        of = keep(stash(by_key.join(least, "component").select("ha", "hb", F.col("rep.value").alias("copy_id"), F.col("class.value").alias("class_id"), links_of), "classof"))
+    out = worded.join(of, ["ha", "hb"]).select(F.col("id.value").alias("doc_id"), "copy_id", "class_id", "n_links")
+    own = F.col("id.value")
+    alone = sets.where("size = 0").select(own.alias("doc_id"), own.alias("copy_id"), own.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
+
+
+def _whole(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the gram sets of their texts, those of which the hashes agree: an id may have several texts."""
+
+    @F.pandas_udf("ha long, hb long, grams binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*_hashes(s), s.tobytes()) for s in gram_sets(list(texts), n)], columns=["ha", "hb", "grams"])
+
+    made = rows.withColumn("made", of("text")).where("made.ha = ha and made.hb = hb")
+    return made.select("key", "component", "n", "large", "copies", "size", F.col("made.grams").alias("grams"))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
