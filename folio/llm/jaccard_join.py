@@ -53,6 +53,8 @@ LOOSE, CLOSE = 0.35, 0.7
 LEAF_LOOSE, LEAF_CLOSE = 0.6, 0.95
 #: Links up to which one task joins them (16 bytes each); more go through the distributed stars.
 LOCAL_LINKS = 1_000_000
+#: Rows up to which the table of sets to compare (about a hundred bytes each) is broadcast to find their texts.
+BROADCAST_ROWS = 500_000
 #: Sets, and bytes of their grams, in one block of the exact comparison.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Levels of distance from a group's centre, and members that the centre is made of.
@@ -461,6 +463,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
         counts = stash(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")), "groupsizes")
         counts = counts.select("component", "n", (_blocks(F.col("n"), F.col("grams")) > 1).alias("large"))
         chosen = placed.join(counts, "component").select("key", "component", "n", "large", F.col("rep.known").alias("known"), F.col("rep.value").alias("value"), "copies", "size", "ha", "hb")
+        chosen = stash(chosen, "chosen")
+        chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen  # else all texts go through an exchange
         same = (F.col("t.id.known") == F.col("c.known")) & F.col("t.id.value").eqNullSafe(F.col("c.value"))
         members = stash(_whole(lean.alias("t").join(chosen.alias("c"), same).select("text", "c.*").drop("known", "value"), n), "members")
         large = members.where("large")
@@ -493,7 +497,8 @@ def _whole(rows: DataFrame, n: int) -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(*_hashes(s), s.tobytes()) for s in gram_sets(list(texts), n)], columns=["ha", "hb", "grams"])
 
-    made = rows.withColumn("made", of("text")).where("made.ha = ha and made.hb = hb")
+    # not deterministic: else the comparison would become part of the join, and every text be split into grams
+    made = rows.withColumn("made", of.asNondeterministic()("text")).where("made.ha = ha and made.hb = hb")
     return made.select("key", "component", "n", "large", "copies", "size", F.col("made.grams").alias("grams"))
 
 

@@ -118,6 +118,91 @@ def test_join_odd_rows(spark):
     assert {r["n_links"] for r in got if r["doc_id"] in (900, 901, 902, 905)} == {0}
 
 
+def test_join_with_ids_of_any_kind(spark):
+    from folio.llm.jaccard_join import similar
+
+    text = "one two three four five six seven"
+    rows = [("b", text), ("a", text), (None, text), ("c", "else"), (None, None)]
+    got = {(r["doc_id"], r["n_links"]): r for r in similar(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert set(got) == {("a", 2), ("b", 2), (None, 2), ("c", 0), (None, 0)}
+    assert got["b", 2]["class_id"] is None and got["b", 2]["copy_id"] is None and got["c", 0]["class_id"] == "c"
+    least = -(1 << 63)
+    got = similar(spark.createDataFrame([(least, text), (1, text)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(least, least, 1), (1, least, 1)}
+
+
+def test_join_compares_large_groups_in_slabs(spark, monkeypatch):
+    """Groups of many blocks: near copies of one text, a chain from text to text, and a shared beginning."""
+    from folio.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 24)
+    rng = random.Random(11)
+    rows, i = [], 0
+    base = prose(rng, 150)
+    for _ in range(150):
+        rows.append((i, edited(rng, base, rng.randrange(6))))
+        i += 1
+    text = prose(rng, 150)
+    for _ in range(120):
+        text = edited(rng, text, rng.randrange(1, 4))
+        rows.append((i, text))
+        i += 1
+    rows += [(i + k, " ".join(base.split()[:70]) + " " + prose(rng, 60)) for k in range(60)]
+    rows += [(2000 + k, t) for k, (_, t) in enumerate(rows[:80])] + rows[:5]
+    links = brute_links(rows)
+    got = {r["doc_id"]: r for r in jaccard_join.similar(frame(spark, rows)).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(x) for i, x in links.items()}
+    assert {i: r["class_id"] for i, r in got.items()} == classes_of(links)
+
+
+def test_join_recall_in_deep_buckets(spark, monkeypatch):
+    """Small limits force four levels and more: runs follow the depth that is reached."""
+    from folio.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "LIMIT", 8)
+    monkeypatch.setattr(jaccard_join, "MOST", 8)
+    depths = []
+    inner = jaccard_join.descend
+
+    def seen(sets, starts):
+        got = inner(sets, starts)
+        depths.append((got[2], len(starts)))
+        return got
+
+    monkeypatch.setattr(jaccard_join, "descend", seen)
+    rng = random.Random(12)
+    shared = [prose(rng, 40) for _ in range(3)]
+    rows = []
+    for k in range(700):  # a third of each text is one of three passages; 4 of about 90 words differ in a pair
+        text = f"{shared[k % 3]} {prose(rng, 80)}"
+        words = text.split()
+        for at in rng.sample(range(50, 115), 2):
+            words[at] = "other"
+        rows += [(2 * k, text), (2 * k + 1, " ".join(words))]
+    got = {r["doc_id"]: r for r in jaccard_join.similar(frame(spark, rows)).collect()}
+    links = {i for i, x in brute_pairs(rows).items() if x}
+    assert max(d for d, _ in depths) >= 4 and len(depths) >= 2
+    found = sum(got[i]["n_links"] > 0 for i in links)
+    assert len(links) >= 1300 and found >= 0.95 * len(links)
+    assert not [i for i, r in got.items() if r["n_links"] and i not in links]
+
+
+def brute_pairs(rows):
+    """Links within the pairs (2k, 2k + 1) only, for tables in which no others are similar."""
+    out = {}
+    for k in range(0, len(rows), 2):
+        out |= brute_links(rows[k : k + 2])
+    return out
+
+
+def test_runs_follow_the_depth():
+    from folio.llm.jaccard_join import RECALL, runs, survival
+
+    for levels in range(1, 9):
+        assert 1 - (1 - survival(levels=levels)) ** runs(levels=levels) >= RECALL
+    assert runs(levels=8) > runs(levels=1)
+
+
 def test_components_both_ways(spark):
     from folio.llm.graph import components
     from folio.llm.jaccard_join import joined
