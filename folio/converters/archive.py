@@ -6,6 +6,7 @@ import io
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from folio.plans.detect import extension
 from folio.plans.model import ConversionError, Info, Options, Result, Unsupported
@@ -14,6 +15,23 @@ from folio.plans.model import ConversionError, Info, Options, Result, Unsupporte
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_DEPTH = 4096, 128 << 20, 512 << 20, 4
 
 
+# What stands in the place of what isn't read.
+TOO_MANY = "> Archive has {n} entries; only the first {most} were processed."
+TOO_LARGE = "> Skipped: entry exceeds the per-file size limit."
+TOO_MUCH = "> Skipped: archive exceeds the {most}-MiB decompression limit."
+UNREADABLE = "> Failed to read entry."
+TOO_DEEP = "> Maximum archive recursion depth reached; contents not expanded."
+
+
+@dataclass
+class Entry:
+    """A file of an archive; ``note`` says why there is no content."""
+
+    name: str
+    content: bytes | None
+    note: str | None = None
+
+
 class Container:
     """A ZIP file whose entries are read within the budgets, by declared and by actual size."""
 
@@ -23,44 +41,66 @@ class Container:
         except (zipfile.BadZipFile, ValueError, OSError, EOFError) as e:
             raise ConversionError(f"not a ZIP container: {e}") from e
         self.total = 0
-        self.names = [n for n in self.zip.namelist()[:MAX_ENTRIES] if not n.endswith("/")]
+        self.infos = self.zip.infolist()
+        self.names = [i.filename for i in self.infos[:MAX_ENTRIES] if not i.is_dir()]
+        #: said of the archive as a whole
+        self.note = TOO_MANY.format(n=len(self.infos), most=MAX_ENTRIES) if len(self.infos) > MAX_ENTRIES else None
 
     def __contains__(self, name: str) -> bool:
         return name in self.zip.NameToInfo
 
     def read(self, name: str) -> bytes | None:
-        """An entry, or nothing where it is missing, corrupt or beyond the budget."""
+        """The last entry of a name, or nothing where it is missing, corrupt or beyond the budget."""
         info = self.zip.NameToInfo.get(name)
-        if info is None or info.file_size > MAX_ENTRY or self.total + info.file_size > MAX_TOTAL:
-            return None
+        return None if info is None else self._read(info).content
+
+    def _read(self, info: zipfile.ZipInfo) -> Entry:
+        if info.file_size > MAX_ENTRY:
+            return Entry(info.filename, None, TOO_LARGE)
+        most = min(MAX_ENTRY, MAX_TOTAL - self.total)
         try:
             with self.zip.open(info) as f:
-                data = f.read(MAX_ENTRY + 1)
+                data = f.read(most + 1)
         except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, OSError, EOFError, ValueError):
-            return None
-        if len(data) > MAX_ENTRY or self.total + len(data) > MAX_TOTAL:
-            return None
+            return Entry(info.filename, None, UNREADABLE)
+        if len(data) > most:
+            return Entry(info.filename, None, TOO_MUCH.format(most=MAX_TOTAL >> 20))
         self.total += len(data)
-        return data
+        return Entry(info.filename, data)
 
-    def entries(self) -> Iterator[tuple[str, bytes]]:
-        for n in self.names:
-            if (data := self.read(n)) is not None:
-                yield n, data
+    def entries(self) -> Iterator[Entry]:
+        """Every file in the archive's order, each by its own place: a name may occur twice. Beyond the budget it ends."""
+        for info in self.infos[:MAX_ENTRIES]:
+            if not info.is_dir():
+                entry = self._read(info)
+                yield entry
+                if entry.note and entry.note not in (TOO_LARGE, UNREADABLE):
+                    return
 
 
 def archive(data: bytes, info: Info, options: Options, convert: Callable[[bytes, Info, Options, int], Result], depth: int = 0) -> Result:
-    """A section for every file that some converter reads; others are left out."""
+    """A section for every file that some converter reads, and a note for what is beyond the budgets.
+
+    Degraded if anything was left out.
+    """
     if data[:2] != b"PK":
         raise ConversionError("not a ZIP archive")
+    head = f"Content from the zip file `{info.url or info.local_path or info.filename}`:\n\n"
     if depth >= MAX_DEPTH:
-        raise ConversionError(f"archives nested deeper than {MAX_DEPTH}")
-    out, degraded = [f"Content from the zip file `{info.url or info.local_path or info.filename}`:\n\n"], False
-    for name, body in Container(data).entries():
-        try:
-            got = convert(body, Info(filename=name.rpartition("/")[2], extension=extension(name)), options, depth + 1)
-        except (Unsupported, ConversionError):
-            continue
-        degraded |= got.degraded
-        out.append(f"## File: {name}\n\n{got.markdown}\n\n")
+        return Result(head + TOO_DEEP, degraded=True)
+    container = Container(data)
+    out, degraded = [head], container.note is not None
+    if container.note:
+        out.append(container.note + "\n\n")
+    for entry in container.entries():
+        if entry.note:
+            text, degraded = entry.note, True
+        else:
+            try:
+                got = convert(entry.content, Info(filename=entry.name.rpartition("/")[2], extension=extension(entry.name)), options, depth + 1)
+            except (Unsupported, ConversionError):
+                degraded = True
+                continue
+            text, degraded = got.markdown, degraded or got.degraded
+        out.append(f"## File: {entry.name}\n\n{text}\n\n")
     return Result("".join(out).strip(), degraded=degraded)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def effectively_empty(text: Column) -> Column:
     return F.regexp_replace(strip_comments(text), r"\s", "") == ""
 
 
+def is_effectively_empty(text: str | None) -> bool:
+    """The same of a string; null is empty."""
+    return not re.sub(r"(?s)<!--.*?-->", "", text or "").strip(" \t\n\r\f\v")
+
+
 def unescape(text: Column) -> Column:
     """The five named entities of XML, the ampersand last."""
     for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):

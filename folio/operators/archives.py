@@ -9,17 +9,31 @@ from pyspark.sql import types as T
 
 from folio.converters.archive import Container
 from folio.plans.detect import extension
-from folio.plans.model import INFO, INFO_FIELDS, ConversionError
+from folio.plans.dispatch import convert_documents
+from folio.plans.model import INFO, INFO_FIELDS, ConversionError, Options
+from folio.plans.registry import Registry
 from folio.runtime import ship
 
-ENTRY = T.StructType([T.StructField("archive_id", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("doc_id", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("hint", INFO)])
+ENTRY = T.StructType(
+    [
+        T.StructField("archive_id", T.StringType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("content", T.BinaryType()),
+        T.StructField("hint", INFO),
+        T.StructField("name", T.StringType()),
+        T.StructField("note", T.StringType()),
+    ]
+)
 
 
 def entries(archives: DataFrame) -> DataFrame:
     """A row for every file of every archive (columns doc_id and content), in the archive's order.
 
-    Files of one archive can then be converted by many tasks. What isn't an archive, or is null, gives
-    no rows; the budgets of one archive hold.
+    Files of one archive can then be converted by many tasks; ``doc_id`` is the archive's id, the position and the
+    name, so that files of one name stay apart. What is beyond the budgets has a ``note`` and no content; a
+    note on the whole archive has the position -1 and no name. A row of null or of what isn't an archive gives no
+    rows. Rows that repeat an id count as one archive when they are collected.
     """
     ship(archives.sparkSession)
 
@@ -32,17 +46,29 @@ def entries(archives: DataFrame) -> DataFrame:
                     container = Container(bytes(data))
                 except ConversionError:
                     continue
-                for k, (name, body) in enumerate(container.entries()):
-                    hint = dict.fromkeys(INFO_FIELDS) | {"filename": name.rpartition("/")[2], "extension": extension(name)}
-                    yield pd.DataFrame([(i, k, f"{i}!{name}", body, hint)], columns=ENTRY.names)
+                none = dict.fromkeys(INFO_FIELDS)
+                if container.note:
+                    yield pd.DataFrame([(i, -1, f"{i}!", None, none, None, container.note)], columns=ENTRY.names)
+                for k, e in enumerate(container.entries()):
+                    hint = none | {"filename": e.name.rpartition("/")[2], "extension": extension(e.name)}
+                    yield pd.DataFrame([(i, k, f"{i}!{k}!{e.name}", e.content, hint, e.name, e.note)], columns=ENTRY.names)
 
     return archives.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(run, ENTRY)
 
 
+def converted_entries(found: DataFrame, options: Options = Options(), registry: Registry | None = None) -> DataFrame:  # noqa: B008  frozen
+    """The rows of :func:`entries` in the output schema, with what places them in their archive."""
+    return convert_documents(found, options, registry, keep=("archive_id", "position", "name", "note"))
+
+
 def collected(converted: DataFrame) -> DataFrame:
-    """One Markdown for each archive from its converted files (archive_id, position, name, markdown, status, degraded)."""
-    section = F.concat(F.lit("## File: "), F.col("name"), F.lit("\n\n"), F.col("markdown"))
-    good = converted.where("status = 'ok'")
-    parts = good.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("position", section.alias("s")))).alias("parts"), F.bool_or("degraded").alias("degraded"))
-    head = F.concat(F.lit("Content from the zip file `"), F.col("archive_id"), F.lit("`:\n\n"))
-    return parts.select("archive_id", F.concat(head, F.array_join(F.col("parts.s"), "\n\n")).alias("markdown"), "degraded")
+    """One Markdown for each archive from its converted files (archive_id, position, name, markdown, status, degraded, note).
+
+    An archive without a file that could be read has its heading alone. Degraded if anything was left out.
+    """
+    text = F.when(F.col("note").isNotNull(), F.col("note")).when(F.col("status") == "ok", F.col("markdown"))
+    section = F.when(F.col("position") < 0, text).otherwise(F.concat(F.lit("## File: "), F.col("name"), F.lit("\n\n"), text))
+    missing = F.col("note").isNotNull() | (F.col("status") != "ok") | F.col("degraded")
+    parts = converted.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct("position", section.alias("s"))))).alias("parts"), F.bool_or(missing).alias("degraded"))
+    head = F.concat(F.lit("Content from the zip file `"), F.col("archive_id"), F.lit("`:"))
+    return parts.select("archive_id", F.concat_ws("\n\n", head, F.col("parts.s")).alias("markdown"), "degraded")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as ft
+from folio.runtime import stash
 
 
 def markdown_table(rows: DataFrame, columns: list[str], order: list[str], group: list[str] | None = None, header: list[str] | None = None) -> DataFrame:
@@ -52,21 +53,41 @@ def pages(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return numbered.select(key, "page", (F.col("page") * size).alias("offset"), F.substring(text, F.col("page") * size + 1, F.lit(size)).alias("body"))
 
 
+#: Rows of one name that are numbered in one piece.
+PIECE = 100_000
+
+
 def output_names(docs: DataFrame, key: str, name: str, keep_extension: bool = False) -> DataFrame:
-    """``docs`` with ``output``: a file name of its own for every row.
+    """``docs`` with ``output``: a file name of its own for every row. A column of that name is replaced.
 
     The stem and ".md"; where stems collide the whole name and ".md"; where whole names collide a number
-    after it, in the order of ``key``. Folders are cut off and ".." never gets through; an empty name is
-    "output". The counts are plain aggregations by name: a name that very many rows share is numbered
-    by its own window, spilled if large.
+    after it, in the order of ``key``, from the first that is free: a name that already ends in a hyphen and
+    a number keeps it, and numbers for the name before the hyphen go on after the largest of these. Folders are cut
+    off and ".." never gets through; a null or empty name is "output". Null keys come first.
+
+    Names are counted by aggregations, written so that a join on a hot name can be split; a name that more than
+    PIECE rows share is numbered in pieces by the key's hash, in the order of key within each.
     """
-    base = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"[?#].*$", ""), r"^.*[/\\]", "")
+    kept = [c for c in docs.columns if c != "output"]
+    base = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{name}`"), F.lit("")), r"[?#].*$", ""), r"^.*[/\\]", "")
     base = F.when(F.regexp_replace(base, r"[.\s]", "") == "", F.lit("output")).otherwise(base)
     stem = F.when(base.rlike(r"^.+\.[^.]+$"), F.regexp_replace(base, r"\.[^.]+$", "")).otherwise(base)
-    named = docs.withColumn("_base", base).withColumn("_stem", F.col("_base") if keep_extension else stem)
-    shared = F.count(F.lit(1)).over(Window.partitionBy("_stem"))
-    first = named.withColumn("_wanted", F.when(shared > 1, F.col("_base")).otherwise(F.col("_stem")))
-    nth = F.row_number().over(Window.partitionBy("_wanted").orderBy(key))
-    numbered = first.withColumn("_nth", nth)
-    out = F.concat(F.col("_wanted"), F.when(F.col("_nth") > 1, F.concat(F.lit("-"), (F.col("_nth") - 1).cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    return numbered.withColumn("output", out).drop("_base", "_stem", "_wanted", "_nth")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), base.alias("base"), (base if keep_extension else stem).alias("stem"))
+    stems = stash(rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "stems")
+    rows = rows.join(stems, "stem", "left").select("row", F.when(F.col("n") > 1, F.col("base")).otherwise(F.col("stem")).alias("wanted"))
+    names = stash(rows.groupBy("wanted").agg(F.count(F.lit(1)).alias("n")), "names")
+    own = r"^(.*)-([0-9]{1,9})$"
+    numbered = names.where(F.col("wanted").rlike(own)).groupBy(F.regexp_extract("wanted", own, 1).alias("wanted")).agg(F.max(F.regexp_extract("wanted", own, 2).cast("long")).alias("after"))
+    shared = stash(names.where("n > 1").join(numbered, "wanted", "left"), "sharednames")
+    rows = rows.join(shared, "wanted", "left")
+    by = F.col("row").getField(key)
+    rows = rows.withColumn("piece", F.when(F.col("n") > PIECE, F.pmod(F.xxhash64(by), F.ceil(F.col("n") / PIECE))).otherwise(F.lit(0).cast("long")))
+    # the rows of a name before each piece: a few rows for each hot name
+    hot = rows.where(F.col("n") > PIECE).groupBy("wanted", "piece").agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy("wanted").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = stash(hot.withColumn("before", F.coalesce(F.sum("k").over(order), F.lit(0))).drop("k"), "namepieces")
+    nth = F.row_number().over(Window.partitionBy("wanted", "piece").orderBy(by))
+    rows = rows.withColumn("nth", nth).join(F.broadcast(before), ["wanted", "piece"], "left")  # at most a row for each PIECE rows
+    nth = F.col("nth") + F.coalesce("before", F.lit(0))
+    out = F.concat(F.col("wanted"), F.when(nth > 1, F.concat(F.lit("-"), (nth - 1 + F.coalesce("after", F.lit(0))).cast("string"))).otherwise(F.lit("")), F.lit(".md"))
+    return rows.select("row", out.alias("output")).select(*[F.col("row").getField(c).alias(c) for c in kept], "output")

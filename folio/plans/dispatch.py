@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folio.functions.text import effectively_empty
+from folio.functions.text import effectively_empty, is_effectively_empty
 from folio.plans import detect
 from folio.plans.model import INFO_FIELDS, OUTPUT, Info, Options, Unsupported
 from folio.plans.registry import FailedConversion, Registry
-from folio.runtime import ship, spread, stash
+from folio.runtime import ship, spread
 
 
 def convert_row(doc_id: str | None, content: bytes | None, hint: dict | None, registry: Registry, options: Options) -> dict:
@@ -31,24 +32,31 @@ def convert_row(doc_id: str | None, content: bytes | None, hint: dict | None, re
     return out | {"info": {f: clean(getattr(got.info, f)) for f in INFO_FIELDS}, "converter": got.converter, "markdown": clean(got.result.markdown), "title": clean(got.result.title), "degraded": got.result.degraded, "attempts": [vars(a) for a in got.attempts]}
 
 
-def convert_documents(docs: DataFrame, options: Options = Options(), registry: Registry | None = None) -> DataFrame:  # noqa: B008  frozen
+def convert_documents(docs: DataFrame, options: Options = Options(), registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008  frozen
     """doc_id, content and hint to the output schema; a bad row gets a status, the job goes on.
 
+    The columns ``keep`` go along with each row.
+
     Rows stay where they are, unless few or small files would leave most cores idle: no shuffle, one
     crossing to Python, and a row's bytes are held by one task.
     """
     ship(docs.sparkSession)
     own = registry or Registry()
+    return _converted(docs, lambda doc_id, content, hint_: convert_row(doc_id, content, hint_, own, options), keep)
+
+
+def _converted(docs: DataFrame, convert, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The output of ``convert`` (id, content and hint to a dict) for every row, in parts of 64."""
 
     def run(frames):
         for pdf in frames:
             for at in range(0, len(pdf), 64):  # results are handed back before they add up
                 part = pdf.iloc[at : at + 64]
-                rows = [convert_row(i, c, h, own, options) for i, c, h in zip(part["doc_id"], part["content"], part["hint"], strict=True)]
-                yield pd.DataFrame(rows, columns=OUTPUT.names)
+                rows = [convert(i, c, h) for i, c, h in zip(part["doc_id"], part["content"], part["hint"], strict=True)]
+                yield pd.DataFrame(rows, columns=OUTPUT.names).assign(**{c: part[c].to_numpy() for c in keep})
 
-    lean = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "hint")
-    return spread(lean).mapInPandas(run, OUTPUT)
+    lean = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "hint", *keep)
+    return spread(lean).mapInPandas(run, T.StructType([*OUTPUT.fields, *[lean.schema[c] for c in keep]]))
 
 
 def needs_fallback() -> Column:
@@ -56,13 +64,23 @@ def needs_fallback() -> Column:
 
 
 def with_fallback(docs: DataFrame, first: Registry, second: Registry, options: Options = Options()) -> DataFrame:  # noqa: B008  frozen
-    """Convert with ``first``; what failed, is degraded or is empty again with ``second``, if that says anything."""
-    once = stash(convert_documents(docs, options, first), "once")
-    again = once.where(needs_fallback()).select("doc_id")
-    retried = convert_documents(docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(again, "doc_id", "left_semi"), options, second)
-    better = stash(retried.where((F.col("status") == "ok") & ~effectively_empty(F.coalesce("markdown", F.lit("")))), "again")
-    kept = once.join(better.select("doc_id"), "doc_id", "left_anti").select(*OUTPUT.names)
-    return kept.unionByName(better.select(*OUTPUT.names))
+    """Convert with ``first``; what failed, is degraded or is empty again with ``second``, if that says anything.
+
+    Row by row, in the task that holds the row: ids may repeat or be null, and nothing is shuffled.
+    """
+    ship(docs.sparkSession)
+
+    def better(row: dict) -> bool:
+        return row["status"] == "ok" and not is_effectively_empty(row["markdown"])
+
+    def convert(doc_id, content, hint_) -> dict:
+        once = convert_row(doc_id, content, hint_, first, options)
+        if better(once) and not once["degraded"] or content is None:
+            return once
+        again = convert_row(doc_id, content, hint_, second, options)
+        return again if better(again) else once
+
+    return _converted(docs, convert)
 
 
 def hint(**columns: Column | str | None) -> Column:

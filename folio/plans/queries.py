@@ -153,9 +153,9 @@ def preview(spark, d):
     return table(spark, d, "documents").select("doc_id", ft.preview(F.col("text")).alias("preview"), F.char_length("text").cast("long").alias("characters"))
 
 
-@query("""SELECT doc_id, regexp_replace('.' || (doc_id % 40) || '  ' || chr(10) || chr(10) || '  ' || left(replace(text, chr(10), ' '), 80) || chr(10) || '.x', '(?m)^[ \\t]*(\\.\\d+)[ \\t]*\\n(?:[ \\t]*\\n)*[ \\t]*', '\\1 ', 'g') AS text FROM documents""")
+@query("""SELECT doc_id, regexp_replace('.' || (doc_id % 40) || '  ' || chr(10) || chr(10) || '  ' || replace(text, chr(10), ' ') || chr(10) || '.x', '(?m)^[ \\t]*(\\.\\d+)[ \\t]*\\n(?:[ \\t]*\\n)*[ \\t]*', '\\1 ', 'g') AS text FROM documents""")
 def merge_partial_numbers(spark, d):
-    body = F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(80))
+    body = F.replace("text", F.lit("\n"), F.lit(" "))
     text = F.concat(F.lit("."), (F.col("doc_id") % 40).cast("string"), F.lit("  \n\n  "), body, F.lit("\n.x"))
     return table(spark, d, "documents").select("doc_id", ft.merge_partial_numbers(text).alias("text"))
 
@@ -163,18 +163,18 @@ def merge_partial_numbers(spark, d):
 # -- addresses ----------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'text/plain' AS mime, decode(from_base64(base64(encode(left(text, 200))))) AS body, CAST(octet_length(encode(left(text, 200))) AS BIGINT) AS bytes FROM documents")
+@query("SELECT doc_id, 'text/plain' AS mime, decode(from_base64(base64(encode(text)))) AS body, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
 def data_uri_round_trip(spark, d):
-    packed = F.regexp_replace(F.base64(F.encode(F.left("text", F.lit(200)), "UTF-8")), r"[\r\n]", "")
+    packed = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", "")
     uri = F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), packed)
     body = fu.data_uri_bytes(F.col("uri"))
     return table(spark, d, "documents").select("doc_id", uri.alias("uri")).select("doc_id", fu.data_uri_mime(F.col("uri")).alias("mime"), body.cast("string").alias("body"), F.octet_length(body).cast("long").alias("bytes"))
 
 
-@query("SELECT doc_id, '![x](data:image/png;base64...) ' || left(text, 50) AS markdown FROM documents")
+@query("SELECT doc_id, '![x](data:image/png;base64...) ' || text AS markdown FROM documents")
 def cut_data_uris(spark, d):
-    packed = F.regexp_replace(F.base64(F.encode(F.left("text", F.lit(90)), "UTF-8")), r"[\r\n]", "")
-    markdown = F.concat(F.lit("![x](data:image/png;base64,"), packed, F.lit(") "), F.left("text", F.lit(50)))
+    packed = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", "")
+    markdown = F.concat(F.lit("![x](data:image/png;base64,"), packed, F.lit(") "), F.col("text"))
     return table(spark, d, "documents").select("doc_id", ft.cut_data_uris(markdown).alias("markdown"))
 
 
@@ -284,8 +284,9 @@ _BASE = "CASE WHEN regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$',
 @query(f"""WITH a AS (SELECT page_id, {_BASE} AS base FROM pages),
 b AS (SELECT page_id, base, CASE WHEN regexp_matches(base, '^.+\\.[^.]+$') THEN regexp_replace(base, '\\.[^.]+$', '') ELSE base END AS stem FROM a),
 c AS (SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN base ELSE stem END AS wanted FROM b),
-e AS (SELECT page_id, wanted, row_number() OVER (PARTITION BY wanted ORDER BY page_id) AS k FROM c)
-SELECT page_id, wanted || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END || '.md' AS output FROM e""")
+e AS (SELECT page_id, wanted, row_number() OVER (PARTITION BY wanted ORDER BY page_id) AS k FROM c),
+own AS (SELECT regexp_extract(wanted, '^(.*)-([0-9]{{1,9}})$', 1) AS wanted, max(CAST(regexp_extract(wanted, '^(.*)-([0-9]{{1,9}})$', 2) AS BIGINT)) AS after FROM c WHERE regexp_matches(wanted, '^(.*)-([0-9]{{1,9}})$') GROUP BY 1)
+SELECT page_id, wanted || CASE WHEN k > 1 THEN '-' || (k - 1 + coalesce(after, 0)) ELSE '' END || '.md' AS output FROM e LEFT JOIN own USING (wanted)""")
 def output_names(spark, d):
     return shaping.output_names(table(spark, d, "pages"), "page_id", "url").select("page_id", "output")
 
@@ -367,10 +368,7 @@ def convert_archives(spark, d):
 
 @query()
 def expand_archives(spark, d):
-    found = stash(archives.entries(_zipped(spark, d)), "entries")
-    done = dispatch.convert_documents(found)
-    names = found.select("doc_id", "archive_id", "position", F.col("hint.filename").alias("name"))
-    return archives.collected(done.join(names, "doc_id")).select("archive_id", "markdown", "degraded")
+    return archives.collected(archives.converted_entries(archives.entries(_zipped(spark, d))))
 
 
 @query()

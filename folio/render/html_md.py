@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -184,6 +185,8 @@ class Renderer:
 
     def __init__(self, keep_data_uris: bool = False, skip: frozenset[str] = RAW):
         self.keep_data_uris, self.skip = keep_data_uris, skip
+        self._places: dict[int, dict[int, int]] = {}
+        self._first: dict[int, bool] = {}
         self.by_tag: dict[str, Callable[[Node, str, Context], str]] = {
             "a": self._a, "img": self._img, "input": self._input, "br": self._br, "hr": lambda n, t, c: "\n\n---\n\n", "p": self._p,
             "b": _wrap("**"), "strong": _wrap("**"), "i": _wrap("*"), "em": _wrap("*"), "del": _wrap("~~"), "s": _wrap("~~"), "strike": _wrap("~~"),
@@ -348,15 +351,38 @@ class Renderer:
             return ""
         parent = node.parent
         if parent is not None and parent.tag == "ol":
-            items = [c for c in parent.children if isinstance(c, Node) and c.tag == "li"]
             start = parent.attrs.get("start", "1")
-            mark = f"{(int(start) if start.isdigit() else 1) + next(i for i, c in enumerate(items) if c is node)}. " if len(items) < 2000 else "1. "
+            mark = f"{(int(start) if start.isdigit() else 1) + self._place(node)}. "
         else:
             mark = "*+-"[(max(1, ctx.items) - 1) % 3] + " "
         pad = " " * len(mark)
         lines = text.split("\n")
         return mark + "\n".join([lines[0], *(pad + x if x else "" for x in lines[1:])]) + "\n"
 
+    def _place(self, node: Node) -> int:
+        """How many elements of the kind stand before one among its siblings; each parent's children are counted once."""
+        known = self._places.get(id(node.parent))
+        if known is None:
+            counts: dict[str, int] = {}
+            known = self._places[id(node.parent)] = {}
+            for c in node.parent.children:
+                if isinstance(c, Node):
+                    known[id(c)] = counts.get(c.tag, 0)
+                    counts[c.tag] = known[id(c)] + 1
+        return known[id(node)]
+
+    def _heads(self, parent: Node) -> bool:
+        """Whether the first row in ``parent`` is the heading of its table: nothing of the table stands before it."""
+        if id(parent) not in self._first:
+            if parent.tag in ("tbody", "tfoot"):
+                above = parent.parent.children
+                before = itertools.takewhile(lambda c: c is not parent, above)
+                first = not any(isinstance(c, Node) and c.tag in ("thead", "tr") for c in before)
+            else:
+                first = parent.tag != "table" or not any(isinstance(c, Node) and c.tag == "thead" for c in parent.children)
+            self._first[id(parent)] = first
+        return self._first[id(parent)]
+
     def _cell(self, node: Node, text: str, ctx: Context) -> str:
         span = node.attrs.get("colspan", "1")
         n = min(1000, max(1, int(span))) if span.isdigit() else 1
@@ -366,10 +392,7 @@ class Renderer:
         cells = [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")]
         if not cells:
             return ""
-        parent = node.parent
-        rows = [c for c in parent.children if isinstance(c, Node) and c.tag == "tr"]
-        first_part = parent.tag not in ("tbody", "tfoot") or not any(isinstance(c, Node) and c.tag in ("thead", "tr") for c in parent.parent.children[: next((i for i, c in enumerate(parent.parent.children) if c is parent), 0)])
-        head = rows[0] is node and first_part if parent.tag != "table" else rows[0] is node and not any(isinstance(c, Node) and c.tag == "thead" for c in parent.children)
+        head = self._place(node) == 0 and self._heads(node.parent)
         width = sum(min(1000, max(1, int(c.attrs.get("colspan", "1")))) if c.attrs.get("colspan", "1").isdigit() else 1 for c in cells)
         line = f"|{text.strip(chr(10)).rstrip(' ')}\n" if text.strip().endswith("|") else f"|{text}|\n"
         return line + ("| " + " | ".join(["---"] * width) + " |\n" if head else "")

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -77,6 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = Path(tempfile.mkdtemp(prefix="folio-")).as_uri()
     else:
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/folio-checkpoints"
+        if own.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
@@ -95,6 +98,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+class _Scopes(threading.local):
+    """The open scopes of a thread, innermost last: each lists the tables written within it alone."""
+
+    def __init__(self):
+        self.open: list[list[tuple[SparkSession, str]]] = []
+
+
+_scopes = _Scopes()
+#: Tables that no scope drops; they go with the driver.
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -113,7 +125,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
+    (_scopes.open[-1] if _scopes.open else _written).append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
@@ -124,23 +136,38 @@ def drop_stash(df: DataFrame) -> None:
     path = getattr(df, "_folio_path", None)
     if path:
         delete_path(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
+        for scope in [_written, *_scopes.open]:
+            scope[:] = [x for x in scope if x[1] != path]
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Drops, at its end, the tables that :func:`stash` wrote within, but for those handed to what it yields."""
-    before, kept = {p for _, p in _written}, set()
+    """Drops, at its end, the tables that :func:`stash` wrote within, but for those handed to what it yields.
+
+    Those belong to the scope around it. A scope knows the tables of its own thread only, so operators that run
+    side by side leave each other's alone; a failure drops them too.
+    """
+    kept: set[str | None] = set()
+    own: list[tuple[SparkSession, str]] = []
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(getattr(df, "_folio_path", None))
         return df
 
-    yield keep
-    for spark, path in list(_written):
-        if path not in before and path not in kept:
-            delete_path(spark, path)
-            _written.remove((spark, path))
+    _scopes.open.append(own)
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _scopes.open.remove(own)
+        outer = _scopes.open[-1] if _scopes.open else _written
+        for spark, path in own:
+            if path in kept:
+                outer.append((spark, path))
+            else:
+                delete_path(spark, path)
 
 
 @atexit.register

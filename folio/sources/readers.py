@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import http.client
 from collections.abc import Iterable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,14 +58,15 @@ def delimited(table: DataFrame) -> DataFrame:
 
 
 def addresses(spark: SparkSession, uris_: DataFrame | Iterable[str], column: str = "uri", guard: bool = True, tasks: int = 64) -> DataFrame:
-    """data:, file: and web addresses; each scheme by its own reader, joined into one table.
+    """data:, file: and web addresses; each scheme, in any case, by its own reader, joined into one table.
 
-    A bad address has null content. Web pages are fetched by the executors with ``fetch.fetch``.
+    A row for each address: null content where it is null, malformed, of another scheme or without one, can't
+    be fetched, or names a file that isn't there. Web pages are fetched and files read by the executors; no
+    address is collected.
     """
     ship(spark)
     table = uris_ if isinstance(uris_, DataFrame) else spark.createDataFrame([(u,) for u in uris_], f"{column} string")
-    u = F.trim(F.col(column))
-    table = table.select(u.alias("uri"))
+    table = table.select(F.trim(F.col(column)).alias("uri"))
 
     def data(frames):
         for pdf in frames:
@@ -80,21 +83,45 @@ def addresses(spark: SparkSession, uris_: DataFrame | Iterable[str], column: str
         for pdf in frames:
             yield pd.DataFrame([_fetched(x, guard) for x in pdf["uri"]], columns=INPUT.names)
 
-    scheme = F.lower(F.regexp_extract("uri", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    schemes = {r["s"] for r in table.select(scheme.alias("s")).distinct().limit(16).collect()}
-    if other := schemes - {"data", "http", "https", "file"}:
-        raise ValueError(f"unsupported addresses: {', '.join(sorted(other)) or 'without a scheme'}")
-    parts = [spread(table).where(F.col("uri").startswith("data:")).mapInPandas(data, INPUT)]
-    if schemes & {"http", "https"}:
-        parts.append(table.where(F.col("uri").rlike("(?i)^https?:")).repartition(tasks).mapInPandas(web, INPUT))
-    if "file" in schemes:
-        local = [uris.file_uri_to_path(r["uri"]) for r in table.where(scheme == "file").toLocalIterator()]
-        if bad := [host for host, _ in local if host not in (None, "", "localhost")]:
-            raise ValueError(f"a file address with a host: {bad[0]}")
-        parts.append(named(spark.read.format("binaryFile").load([p for _, p in local])).select(*INPUT.names))
+    scheme = F.coalesce(F.lower(F.regexp_extract("uri", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)), F.lit(""))
+    kind = F.when(scheme == "data", "data").when(scheme.isin("http", "https"), "web").when(scheme == "file", "file").otherwise("none")
+    table = table.withColumn("kind", kind)
+    there = {r["kind"] for r in table.select("kind").distinct().collect()}  # four at most
+    of = lambda k: table.where(F.col("kind") == k).drop("kind")
+    parts = [spread(of("data")).mapInPandas(data, INPUT)]
+    if "web" in there:
+        parts.append(of("web").repartition(tasks).mapInPandas(web, INPUT))
+    if "none" in there:
+        parts.append(_unread(of("none")))
+    if "file" in there:
+        parts.append(_local(of("file")))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _unread(table: DataFrame) -> DataFrame:
+    return table.select(F.col("uri").alias("doc_id"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast(INPUT["hint"].dataType).alias("hint"))
+
+
+def _local(table: DataFrame) -> DataFrame:
+    """Files by their addresses, read where the rows are, in the file system that the driver calls local.
+
+    Only folders that all executors share make sense on a cluster, as for any ``file:`` path.
+    """
+
+    def read(frames):
+        for pdf in frames:
+            for x in pdf["uri"]:
+                try:
+                    host, path = uris.file_uri_to_path(x)
+                    body = Path(path).read_bytes() if host in (None, "", "localhost") else None
+                except (OSError, ValueError):
+                    path, body = "", None
+                name = path.rpartition("/")[2]
+                yield pd.DataFrame([(x, body, None if body is None else _hint(filename=name, local_path=path, extension=detect.extension(name)))], columns=INPUT.names)
+
+    return spread(table).mapInPandas(read, INPUT)
+
+
 def _hint(**known: str | None) -> dict[str, str | None]:
     return dict.fromkeys(INFO_FIELDS) | known
 
@@ -102,7 +129,7 @@ def _hint(**known: str | None) -> dict[str, str | None]:
 def _fetched(address: str, guard: bool) -> tuple:
     try:
         got = fetch.fetch(address, guard=guard)
-    except (OSError, ValueError):
+    except (OSError, ValueError, http.client.HTTPException):
         return address, None, None
     return address, got.body, _hint(**{f: getattr(got.info, f) for f in INFO_FIELDS})
 
