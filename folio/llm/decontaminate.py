@@ -1,9 +1,10 @@
 """Benchmark decontamination: hash the windows of test items, scan all token windows, verify, remove.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z lower-cased. A test
-item's windows are its runs of ``n`` words, or all its words where it has fewer. The windows of one
-block of items, of bounded size, are broadcast as sorted 64-bit hashes with their words; a document is
-scanned in one vectorised pass for each block, and every hash hit is compared word by word.
+item's windows are its runs of ``n`` words, or all its words where it has fewer. The windows of a benchmark of up
+to BLOCK_BYTES are broadcast as sorted 64-bit hashes with their words; a document is scanned in one
+vectorised pass, and every hash hit is compared word by word. Of a larger benchmark only a filter of fixed size is
+broadcast; the document windows that pass it are joined with the benchmark's by their words.
 """
 
 from __future__ import annotations
@@ -12,18 +13,23 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import kernel
-from folio.runtime import ship, spread, table
+from folio.runtime import scratch, ship, spread, stash, table
 
 #: Words of a window.
 N = 10
-#: Bytes of item texts in one broadcast block: a larger benchmark is scanned for in more passes.
+#: Bytes of item texts up to which the windows themselves are broadcast.
 BLOCK_BYTES = 16 << 20
+#: Bits of the filter that stands for a larger benchmark.
+FILTER_BITS = 1 << 27
+#: Texts with hits up to which these are broadcast to the documents.
+BROADCAST_ROWS = 100_000
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = bytes(range(256)).replace(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -97,17 +103,9 @@ class Windows:
                 yield int(w.count[k]), merged, sorted({self.names[i] for i in hits[k][1]})
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded bytes; a stated query set, read by the driver block by block."""
-    out: list[list[tuple[str, str | None]]] = [[]]
-    size = 0
-    for r in benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").toLocalIterator():
-        if size > BLOCK_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"] or "", r["t"]))
-        size += len(r["t"])
-    return out
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """i (the id as text; empty for null) and t of the items with a text."""
+    return benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
 
 
 _KIND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -117,25 +115,113 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "te
     """All columns of ``docs``, and ``n_words``, ``hit_spans`` (word ranges, merged) and ``items`` (sorted).
 
     Null and empty texts have no words and no hits; items without words have no windows; equal rows get
-    equal results. Columns with those names are replaced. A benchmark of more than one block adds one
-    scan of the column for each further block, and the ranges are merged; nothing is shuffled.
+    equal results. Columns with those names are replaced. With a benchmark of up to BLOCK_BYTES nothing is
+    shuffled; with a larger one, of any size, only what passes the filter is.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    blocks = item_blocks(benchmark, item_id, item_text)
-    out = spread(docs.drop("n_words", "hit_spans", "items"))
-    kept = out.columns
-    for k, block in enumerate(blocks):
-        windows = spark.sparkContext.broadcast(Windows(block, n))
-        out = out.withColumn(f"_hit{k}", _scanner(windows)(F.col(f"`{text}`")))
-    first = F.col("_hit0")
-    if len(blocks) == 1:
-        spans, items = first["hit_spans"], first["items"]
-    else:
-        every = F.array_sort(F.flatten(F.array(*[F.col(f"_hit{k}.hit_spans") for k in range(len(blocks))])))
-        spans = F.aggregate(every, F.expr("cast(array() as array<array<bigint>>)"), _merge)
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"_hit{k}.items") for k in range(len(blocks))]))))
-    return out.select(*[F.col(f"`{c}`") for c in kept], first["n_words"].alias("n_words"), spans.alias("hit_spans"), items.alias("items"))
+    ship(docs.sparkSession)
+    items = _items(benchmark, item_id, item_text)
+    docs = docs.drop("n_words", "hit_spans", "items")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return _broadcast_hits(docs, items, n, text) if size <= BLOCK_BYTES else _joined_hits(docs, items, n, text)
+
+
+def _broadcast_hits(docs: DataFrame, items: DataFrame, n: int, text: str) -> DataFrame:
+    held = [(r["i"], r["t"]) for r in items.collect()]  # at most BLOCK_BYTES
+    out = spread(docs)
+    inside = _inner(out.columns)
+    windows = docs.sparkSession.sparkContext.broadcast(Windows(held, n))
+    hit = out.withColumn(inside, _scanner(windows)(F.col(f"`{text}`")))
+    return hit.select(*[F.col(f"`{c}`") for c in out.columns], *[F.col(inside)[c].alias(c) for c in ("n_words", "hit_spans", "items")])
+
+
+def _inner(columns: list[str], name: str = "_hits") -> str:
+    """A name that none of the columns has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+# -- benchmarks of any size -----------------------------------------------------------------------
+
+
+def _window(w: kernel.Words, first: int, size: int) -> str:
+    """The words of a window, joined by blanks."""
+    return b" ".join(w.buf[w.start[j] : w.end[j]] for j in range(first, first + size)).decode()
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _item_windows(items: DataFrame, n: int) -> DataFrame:
+    """item, size, win (its words) and the bit of the filter of every window."""
+
+    def of(frames):
+        for pdf in frames:
+            for i, t in zip(pdf["i"], pdf["t"], strict=True):
+                w = kernel.Words([t.encode().translate(_LOWER)])
+                if size := min(n, int(w.count[0])):
+                    h, at = w.grams(size)
+                    yield pd.DataFrame({"item": i, "size": size, "win": [_window(w, k, size) for k in at.tolist()], "bit": _bits(h)})
+
+    return items.mapInPandas(of, "item string, size int, win string, bit long")
+
+
+def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The filter's bits, packed, of FILTER_BITS at most whatever the benchmark, and the sizes of windows."""
+    word = F.shiftright("bit", 5)
+    packed = windows.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits"))
+    out = np.zeros(FILTER_BITS >> 5, np.uint32)
+    for r in packed.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out, [r["size"] for r in windows.select("size").distinct().collect()]
+
+
+def _passing(docs: DataFrame, known, text: str) -> DataFrame:
+    """a, b (hashes of the text), first, size and win of the document windows that pass the filter."""
+
+    @F.pandas_udf("array<struct<first: int, size: int, win: string>>")
+    def of(texts: pd.Series) -> pd.Series:
+        bits, sizes = known.value
+        out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
+        raw = [(t or "").encode().translate(_LOWER) for t in texts]
+        for lo, hi in kernel.blocks(raw):
+            w = kernel.Words(raw[lo:hi])
+            for size in sizes:
+                h, at = w.grams(size)
+                b = _bits(h)
+                for first in at[(bits[b >> 5] >> (b & 31).astype(np.uint32) & 1) == 1].tolist():
+                    k = int(w.owner[first])
+                    out[lo + k].append((first - int(w.first[k]), size, _window(w, first, size)))
+        return pd.Series(out)
+
+    t = F.col(f"`{text}`")
+    rows = spread(docs.where(t.isNotNull()).select(t.alias("t")))
+    found = rows.select(F.xxhash64("t").alias("a"), F.xxhash64("t", F.lit(1)).alias("b"), of("t").alias("w"))
+    return found.where(F.size("w") > 0).select("a", "b", F.explode("w").alias("w")).select("a", "b", "w.*").distinct()
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame, n: int, text: str) -> DataFrame:
+    """The hits by a join on the windows' words; rows are told apart by their texts alone."""
+    t = F.col(f"`{text}`")
+    with scratch() as keep:
+        windows = stash(_item_windows(items, n).distinct(), "windows")
+        known = docs.sparkSession.sparkContext.broadcast(_filter(windows))
+        passing = stash(_passing(docs, known, text), "passing")
+        hits = stash(passing.join(windows.select("size", "win", "item"), ["size", "win"]).select("a", "b", "first", "size", "item"), "hits")
+        known.unpersist()
+        span = F.array(F.col("first").cast("long"), (F.col("first") + F.col("size")).cast("long"))
+        every = hits.groupBy("a", "b").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+        by_text = keep(stash(every.select("a", "b", F.aggregate("spans", F.expr("cast(array() as array<array<bigint>>)"), _merge).alias("hit_spans"), "items"), "hitsbytext"))
+        by_text = F.broadcast(by_text) if by_text.count() <= BROADCAST_ROWS else by_text
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(_WORD.findall(t.encode().translate(_LOWER))) if t else 0 for t in texts], dtype="int64")
+
+    rows = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), count(t).alias("n_words"), F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))
+    none = [F.coalesce(F.col(c), F.expr(f"cast(array() as {kind})")).alias(c) for c, kind in (("hit_spans", "array<array<bigint>>"), ("items", "array<string>"))]
+    return rows.join(by_text, ["a", "b"], "left").select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "n_words", *none)
 
 
 def _merge(done, span):

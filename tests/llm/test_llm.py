@@ -435,11 +435,15 @@ def test_decontamination(spark, monkeypatch, block):
 
 
 @needs_data
-def test_decontamination_sql(spark):
+@pytest.mark.parametrize("block", [1, 16 << 20])
+def test_decontamination_sql(spark, monkeypatch, block):
     import duckdb
 
+    from folio.llm import decontaminate
     from folio.llm.queries import QUERIES, SQL
 
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
