@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 from folio.plans.detect import MIME_OF
-from folio.plans.model import ConversionError, Info, Options, Result
+from folio.plans.model import ConversionError, Info, Options, Result, asked
 
 # The fields that are shown, in order.
 IMAGE_FIELDS = "ImageSize Format Title Caption Description Keywords Artist Author DateTimeOriginal CreateDate GPSPosition".split()
@@ -118,15 +118,8 @@ def image(data: bytes, info: Info, options: Options) -> Result:
     except (struct.error, IndexError) as e:
         raise ConversionError(f"corrupt image: {e}") from e
     out = "".join(f"{k}: {fields[k]}\n" for k in IMAGE_FIELDS if fields.get(k))
-    caption = getattr(options.hooks, "caption", None)
-    said = None
-    if caption:
-        try:
-            said = caption(data, info.mimetype or MIME_OF.get(info.extension or "", "application/octet-stream"))
-        except Exception:  # a provider may fail in any way
-            said = None
-    ocr = getattr(options.hooks, "ocr", None)
-    text = ocr(data) if ocr else None
+    said = asked(options.hooks, "caption", data, info.mimetype or MIME_OF.get(info.extension or "", "application/octet-stream"))
+    text = asked(options.hooks, "ocr", data)
     if said:
         out += f"\n# Description:\n{said.strip()}\n"
     if text:

@@ -12,7 +12,7 @@ from folio.converters.archive import Container
 from folio.converters.omml import children as math
 from folio.converters.xmltree import safe_xml
 from folio.plans.detect import MIME_OF, extension
-from folio.plans.model import ConversionError, Info, Options, Result
+from folio.plans.model import ConversionError, Info, Options, Result, asked
 from folio.render.table_md import table
 
 _DEPTH = 4000
@@ -94,9 +94,7 @@ class _Word:
         data = self.zip.read(target)
         if data is None:
             return ""
-        ocr = getattr(self.options.hooks, "ocr", None)
-        text = ocr(data) if ocr else None
-        if text:
+        if text := asked(self.options.hooks, "ocr", data):
             return f"*[Image OCR]\n{text}\n[End OCR]*"
         return f"![{alt}]({data_uri(data, target, self.options.keep_data_uris)})"
 
@@ -332,13 +330,12 @@ def xlsx(data: bytes, info: Info, options: Options) -> Result:
 
 def _sheet_images(zip_: Container, sheet: str, options: Options) -> str:
     """What an OCR hook reads in the images of a sheet."""
-    ocr = getattr(options.hooks, "ocr", None)
-    if not ocr:
+    if not getattr(options.hooks, "ocr", None):
         return ""
     found = []
     for drawing in (t for t in _relations(zip_, sheet).values() if "/drawings/" in t and t.endswith(".xml")):
         for image in _relations(zip_, drawing).values():
-            if (data := zip_.read(image)) and (text := ocr(data)):
+            if (data := zip_.read(image)) and (text := asked(options.hooks, "ocr", data)):
                 found.append(f"*[Image OCR]\n{text}\n[End OCR]*")
     return "\n\n### Images in this sheet:\n\n" + "\n\n".join(found) if found else ""
 
@@ -414,25 +411,23 @@ class _Deck:
                 out.append(f"# {text.lstrip()}\n" if title else f"{text}\n")
 
     def picture(self, s: Element, links: dict[str, str]) -> str:
-        named = next((p for p in s.iter("cNvPr")), None)
-        alt, name = (named.attrib.get("descr", ""), named.attrib.get("name", "")) if named is not None else ("", "")
-        blip = next(s.iter("blip"), None)
-        target = links.get(blip.attrib.get("embed", ""), "") if blip is not None else ""
-        data = self.zip.read(target)
-        caption = getattr(self.options.hooks, "caption", None)
-        ocr = getattr(self.options.hooks, "ocr", None)
-        said = ""
-        if data and caption:
-            try:
-                said = caption(data, MIME_OF.get(extension(target) or "", "image/png")) or ""
-            except Exception:  # a provider may fail in any way
-                said = ""
-        if data and not said and ocr and (text := ocr(data)):
-            return f"\n*[Image OCR]\n{text}\n[End OCR]*\n"
-        alt = re.sub(r"\s+", " ", re.sub(r"[\r\n\[\]]", " ", f"{said}\n{alt}" if said or alt else name)).strip()
-        if self.options.keep_data_uris and data:
-            return f"\n![{alt}]({data_uri(data, target, True)})\n"
-        return f"\n![{alt}]({re.sub(r'[^A-Za-z0-9_]', '', name)}.jpg)\n"
+        """An image with its description, or else its name, as a label; what a text hook reads stands for all of it."""
+        own = next((e.attrib for e in s.iter("cNvPr")), {})
+        part = next((links.get(b.attrib.get("embed", ""), "") for b in s.iter("blip")), "")
+        data, said = self.zip.read(part), None
+        if data:
+            said = asked(self.options.hooks, "caption", data, MIME_OF.get(extension(part) or "", "image/png"))
+            if not said and (text := asked(self.options.hooks, "ocr", data)):
+                return f"\n*[Image OCR]\n{text}\n[End OCR]*\n"
+        described = f"{said or ''} {own.get('descr', '')}"
+        if not described.strip():
+            described = own.get("name", "")
+        label = " ".join(re.findall(r"[^\s\[\]]+", described))
+        if data and self.options.keep_data_uris:
+            source = data_uri(data, part, True)
+        else:
+            source = "".join(c for c in own.get("name", "") if c.isalnum() or c == "_") + ".jpg"
+        return f"\n![{label}]({source})\n"
 
     def chart(self, part: str) -> str:
         try:

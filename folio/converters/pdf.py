@@ -5,17 +5,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from statistics import median
 
 from folio.converters.pdf_reader import Glyph, Page, read_pages
-from folio.plans.model import ConversionError, Info, Options, Result
+from folio.plans.model import ConversionError, Info, Options, Result, asked
 
 PARTIAL = re.compile(r"^\.\d+$")
+ANY_PARTIAL = re.compile(r"(?m)^\s*\.\d+\s*$")
 
 
 def merge_partial_numbers(text: str) -> str:
     """A line that is only ".1" joins the next line that isn't blank."""
+    if not ANY_PARTIAL.search(text):
+        return text
     out: list[str] = []
     lines = text.split("\n")
     i = 0
@@ -34,7 +38,7 @@ def merge_partial_numbers(text: str) -> str:
 # -- forms: tables by the places of words --------------------------------------------------------
 
 
-@dataclass
+@dataclass(slots=True)
 class Word:
     text: str
     x0: float
@@ -109,7 +113,7 @@ def form_text(words: list[Word], width: float = 612.0) -> str | None:
 # -- prose: lines, columns, headings, lists and paragraphs by glyphs ------------------------------
 
 
-@dataclass
+@dataclass(slots=True)
 class Cell:
     text: str
     x0: float
@@ -117,7 +121,7 @@ class Cell:
     bold: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     y: float
     size: float
@@ -135,9 +139,13 @@ class Line:
         return " ".join(c.text for c in self.cells).strip()
 
 
-def body_size(glyphs: list[Glyph]) -> float:
-    """The most frequent size in steps of half a point, the smaller of equals; 10 without glyphs."""
-    counts = Counter(round(g.size * 2) / 2 for g in glyphs if g.ch.strip())
+def sizes_of(glyphs: list[Glyph]) -> Counter[float]:
+    """How many glyphs have each size, in steps of half a point."""
+    return Counter(round(g.size * 2) / 2 for g in glyphs if g.ch.strip())
+
+
+def body_size(counts: Counter[float]) -> float:
+    """The most frequent size, the smaller of equals; 10 without glyphs."""
     return min(counts, key=lambda s: (-counts[s], s)) if counts else 10.0
 
 
@@ -348,30 +356,36 @@ def layout_text(lines: list[Line], body: float) -> str:
 SCANNED = "<!-- This PDF seems to be scanned: no text could be extracted. OCR is needed to read it. -->"
 
 
-def pages_markdown(pages: list[Page | None]) -> Result:
-    """Form pages as tables where there are any; all as prose otherwise."""
-    read = [p for p in pages if p is not None]
-    if pages and not read:
+def pages_markdown(pages: Iterable[Page | None]) -> Result:
+    """Form pages as tables where there are any; all as prose otherwise.
+
+    The glyphs of one page are held at a time: a form page leaves its table, another one its lines.
+    """
+    n, sizes = 0, Counter()
+    read: list[tuple[str | None, list[Line], float]] = []
+    for page in pages:
+        n += 1
+        if page is not None:
+            lines = lines_of(page.glyphs, len(read))
+            sizes.update(sizes_of(page.glyphs))
+            form = form_text(page_words(lines, page.height), page.width)
+            read.append((form, [] if form is not None else lines, page.width))
+    if n and not read:
         raise ConversionError("no page of the file can be read")
-    lines = [lines_of(p.glyphs, i) for i, p in enumerate(read)]
-    forms = [form_text(page_words(ls, p.height), p.width) for p, ls in zip(read, lines, strict=True)]
-    body = body_size([g for p in read for g in p.glyphs])
-    degraded = len(read) < len(pages)
-    if any(f is not None for f in forms):
-        parts = [f if f is not None else layout_text(in_columns(ls, p.width), body) for f, ls, p in zip(forms, lines, read, strict=True)]
+    body, degraded = body_size(sizes), len(read) < n
+    if any(form is not None for form, _, _ in read):
+        parts = [form if form is not None else layout_text(in_columns(lines, width), body) for form, lines, width in read]
         text = "\n\n".join(x.strip() for x in parts if x.strip())
     else:
-        kept = drop_running_heads(lines)
-        text = layout_text([ln for ls, p in zip(kept, read, strict=True) for ln in in_columns(ls, p.width)], body)
+        kept = drop_running_heads([lines for _, lines, _ in read])
+        text = layout_text([ln for lines, (_, _, width) in zip(kept, read, strict=True) for ln in in_columns(lines, width)], body)
     if not text.strip():
         return Result(SCANNED, degraded=True)
     return Result(merge_partial_numbers(text), degraded=degraded)
 
 
 def pdf(data: bytes, info: Info, options: Options) -> Result:
-    ocr = getattr(options.hooks, "ocr_pdf", None)
-    out = pages_markdown(list(read_pages(data)))
-    if out.markdown == SCANNED and ocr:
-        pages = [f"## Page {i}\n\n*[Image OCR]\n{t}\n[End OCR]*" for i, t in enumerate(ocr(data), 1)]
-        return Result("\n\n".join(pages))
+    out = pages_markdown(read_pages(data))
+    if out.markdown == SCANNED and (texts := asked(options.hooks, "ocr_pdf", data)):
+        return Result("\n\n".join(f"## Page {i}\n\n*[Image OCR]\n{t}\n[End OCR]*" for i, t in enumerate(texts, 1)))
     return out

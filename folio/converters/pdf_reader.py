@@ -16,6 +16,10 @@ MAX_STREAM = 256 << 20
 MAX_DEPTH, MAX_OPS = 60, 5_000_000
 
 
+#: Bytes of a stream that is not kept once its page is read.
+LARGE = 64 << 10
+
+
 class Name(str):
     __slots__ = ()
 
@@ -260,8 +264,10 @@ class Pdf:
                     for k, (number, _) in enumerate(zip(heads[::2], heads[1::2], strict=False)):
                         if number not in self.places:
                             self.packed[number] = (n, k)
-            elif isinstance(o, Stream) and o.info.get("Type") == "XRef":
-                trailers.append(o.info)
+            elif isinstance(o, Stream):
+                if o.info.get("Type") == "XRef":
+                    trailers.append(o.info)
+                self.cache.pop(n, None)  # a copy of a part of the file, read again where it is needed
         if any("Encrypt" in t for t in trailers):
             raise ConversionError("the file is encrypted")
         roots = [r for t in reversed(trailers) if isinstance(r := self.get(t.get("Root")), dict)]
@@ -356,8 +362,15 @@ class Pdf:
         body = self.get(page.get("Contents"))
         parts = [self.get(b) for b in body] if isinstance(body, list) else [body]
         code = b"\n".join(self.decoded(p) for p in parts if isinstance(p, Stream))
+        known = set(self.cache)
         out = _Interpreter(self)
         out.run(code, self.get(page.get("Resources")) or {}, (1.0, 0.0, 0.0, 1.0, -x0, -y0))
+        # contents are of one page, and so are large streams as a rule; fonts and small objects stay
+        contents = {r.number for r in ([page.get("Contents")] + (body if isinstance(body, list) else [])) if isinstance(r, Ref)}
+        for n in contents | (set(self.cache) - known):
+            x = self.cache.get(n)
+            if isinstance(x, Stream) and (n in contents or len(x.raw) > LARGE):
+                del self.cache[n]
         return Page(abs(box[2] - box[0]), abs(box[3] - box[1]), out.glyphs, out.images)
 
 

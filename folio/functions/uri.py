@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def parse_data_uri(uri: str) -> tuple[str | None, dict[str, str], bytes]:
     """Media type, attributes and bytes of a data address."""
-    if not uri.startswith("data:"):
+    if uri[:5].lower() != "data:":
         raise ValueError("not a data address")
     head, comma, body = uri[5:].partition(",")
     if not comma:

@@ -44,6 +44,15 @@ class Options:
     hooks: Any = None
 
 
+def asked(hooks: Any, name: str, *args: Any) -> Any:
+    """What a hook says; nothing where there is none or where it fails, in whatever way a service may."""
+    hook = getattr(hooks, name, None)
+    try:
+        return hook(*args) if hook else None
+    except Exception:
+        return None
+
+
 @dataclass
 class Result:
     """Markdown and title; ``degraded`` if something known to be there was left out."""

@@ -6,7 +6,7 @@ import itertools
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from urllib.parse import quote, unquote, urlsplit, urlunsplit
+from urllib.parse import quote, unquote
 
 # Fixed values of HTML: elements without content, and those that end when a like one starts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -169,15 +169,24 @@ class Context:
         return self if (pre, inline, items) == (self.pre, self.inline, self.items) else Context(pre, inline, items)
 
 
+#: Schemes of links that readers may follow.
+FOLLOWED = frozenset(["", "http", "https", "file"])
+#: Scheme, the host with its slashes, path, and the rest of an address; every string fits.
+_ADDRESS = re.compile(r"(?s)(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(.*)")
+
+
 def link_target(href: str) -> str | None:
-    """The address of a link with its path quoted anew; null where its scheme isn't http, https or file."""
-    try:
-        u = urlsplit(href)
-    except ValueError:
-        return None
-    if u.scheme and u.scheme.lower() not in ("http", "https", "file"):
+    """An address as it is shown, its path decoded and quoted anew; nothing where the scheme isn't to be followed."""
+    scheme, host, path, rest = _ADDRESS.fullmatch(href.strip()).groups(default="")
+    if scheme.lower() not in FOLLOWED:
         return None
-    return urlunsplit(u._replace(path=quote(unquote(u.path))))
+    return f"{scheme.lower()}{':' if scheme else ''}{host}{quote(unquote(path))}{rest}"
+
+
+def _reference(label: str, address: str, node: Node) -> str:
+    """Markdown that points a label at an address, with the element's title if it has one."""
+    title = node.attrs.get("title", "").replace('"', r"\"")
+    return f'[{label}]({address} "{title}")' if title else f"[{label}]({address})"
 
 
 class Renderer:
@@ -283,45 +292,31 @@ class Renderer:
         return f"\n\n{'#' * HEADINGS[node.tag]} {text}\n\n" if text else ""
 
     def _a(self, node: Node, text: str, ctx: Context) -> str:
-        a, inner, b = _trim(text)
-        if not inner:
-            return ""
-        if ctx.pre:
+        before, label, after = _trim(text)
+        if ctx.pre and label:
             return text
-        href, title = node.attrs.get("href", ""), node.attrs.get("title", "")
-        if href:
-            target = link_target(href)
-            if target is None:
-                return f"{a}{inner}{b}"
-            href = target
-        if inner.replace(r"\_", "_") == href and not title:
-            return f"{a}<{href}>{b}"
-        named = ' "{}"'.format(title.replace('"', r"\"")) if title else ""
-        return f"{a}[{inner}]({href}{named}){b}" if href else text
+        address = link_target(node.attrs.get("href", "")) if label else None
+        if not address:  # nothing to click on, or nowhere to go
+            return f"{before}{label}{after}"
+        bare = "title" not in node.attrs and label.replace(r"\_", "_") == address
+        return f"{before}<{address}>{after}" if bare else before + _reference(label, address, node) + after
 
     def _img(self, node: Node, text: str, ctx: Context) -> str:
-        alt = _BLANK.sub(" ", node.attrs.get("alt", ""))
-        src = node.attrs.get("src") or node.attrs.get("data-src", "")
-        if ctx.inline and not self._keeps_images(node):
-            return alt
-        if src.startswith("data:") and not self.keep_data_uris:
-            src = src.split(",")[0] + "..."
-        title = node.attrs.get("title", "")
-        named = ' "{}"'.format(title.replace('"', r"\"")) if title else ""
-        return f"![{alt}]({src}{named})"
-
-    @staticmethod
-    def _keeps_images(node: Node) -> bool:
-        return "data-keep" in node.attrs
+        """The image by its address; within a heading or a cell what it shows."""
+        label = " ".join(node.attrs.get("alt", "").splitlines())
+        if ctx.inline and "data-keep" not in node.attrs:
+            return label
+        address = node.attrs.get("src") or node.attrs.get("data-src", "")
+        embedded = address.startswith("data:") and not self.keep_data_uris
+        return "!" + _reference(label, address.partition(",")[0] + "..." if embedded else address, node)
 
     def _input(self, node: Node, text: str, ctx: Context) -> str:
-        if node.attrs.get("type") == "checkbox":
-            return "[x] " if "checked" in node.attrs else "[ ] "
-        return ""
+        box = node.attrs.get("type") == "checkbox"
+        return ("[ ] ", "[x] ")["checked" in node.attrs] if box else ""
 
     def _video(self, node: Node, text: str, ctx: Context) -> str:
-        src = node.attrs.get("src", "")
-        return f"[{text.strip()}]({src})" if src and text.strip() else text
+        label, src = text.strip(), node.attrs.get("src", "")
+        return f"[{label}]({src})" if src and label else text
 
     def _code(self, node: Node, text: str, ctx: Context) -> str:
         if ctx.pre or not text.strip():

@@ -116,15 +116,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Whether Spark deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    Like :func:`cut` it ends the lineage, but the columns stay prunable and compressed. The files
-    go when the driver ends, or earlier through :func:`drop_stash`.
+    Like :func:`cut` it ends the lineage, but the columns stay prunable and compressed; nothing needs the
+    shuffle files of the write any more, and they go at once. The tables go when the driver ends, or
+    earlier through :func:`scratch` and :func:`drop_stash`.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     (_scopes.open[-1] if _scopes.open else _written).append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path

@@ -193,6 +193,9 @@ def test_fallback(spark):
     docs = readers.rows(spark, [("a", b"x", Info(extension=".txt")), ("b", b"y", Info(extension=".txt"))])
     got = {r["doc_id"]: r["markdown"] for r in dispatch.with_fallback(docs, first, second).collect()}
     assert got == {"a": "again", "b": "kept"}
+    rows = [(None, b"x", Info(extension=".txt")), ("a", b"x", Info(extension=".txt")), ("a", b"y", Info(extension=".txt")), ("a", None, None)]
+    got = dispatch.with_fallback(readers.rows(spark, rows), first, second).collect()
+    assert sorted((str(r["doc_id"]), str(r["markdown"]), r["status"]) for r in got) == [("None", "again", "ok"), ("a", "None", "invalid_input"), ("a", "again", "ok"), ("a", "kept", "ok")]
 
 
 def test_addresses(spark, tmp_path):
@@ -200,8 +203,9 @@ def test_addresses(spark, tmp_path):
     f.write_text("text")
     got = readers.addresses(spark, ["data:text/plain,x", f.as_uri(), "data:bad"]).collect()
     assert sorted((bytes(r["content"]) if r["content"] is not None else b"") for r in got) == [b"", b"text", b"x"]
-    with pytest.raises(ValueError):
-        readers.addresses(spark, ["ftp://x"])
+    odd = ["ftp://x", "no scheme", None, "DATA:,b", "file://host/x", (tmp_path / "gone").as_uri(), "data:,c"]
+    got = [(r["doc_id"], r["content"] and bytes(r["content"])) for r in readers.addresses(spark, odd).collect()]
+    assert sorted(got, key=str) == sorted([(u, {"DATA:,b": b"b", "data:,c": b"c"}.get(u)) for u in odd], key=str)
 
 
 def test_names_stay_in_the_folder(spark):
@@ -212,5 +216,18 @@ def test_names_stay_in_the_folder(spark):
     assert got == {1: "x.txt.md", 2: "x.pdf.md", 3: "output.md", 4: "output-1.md", 5: "a.md", 6: "x.pdf-1.md"}
 
 
+def test_no_two_rows_get_one_name(spark, monkeypatch):
+    from folio.operators import shaping
+
+    monkeypatch.setattr(shaping, "PIECE", 3)
+    names = ["x", "x", "x-1.pdf", "y-2", "y", "y", "x-1.txt", "x-1"] + ["index.html"] * 20 + ["index-7.html", None, None]
+    docs = spark.createDataFrame([(k if k % 5 else None, n, "mine") for k, n in enumerate(names)], "doc_id int, name string, output string")
+    got = shaping.output_names(docs, "doc_id", "name")
+    assert got.columns == ["doc_id", "name", "output"]
+    made = [r["output"] for r in got.collect()]
+    assert len(made) == len(names) == len(set(made)) and "x-2.md" in made and "index.html-19.md" in made
+    assert shaping.output_names(docs.limit(0), "doc_id", "name").count() == 0
+
+
 def test_info_schema():
     assert tuple(Info.__dataclass_fields__) == INFO_FIELDS
