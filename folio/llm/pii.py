@@ -3,30 +3,37 @@
 Detected mentions are gathered once for each distinct string, turned into entities (the form in which
 mentions of one thing agree, such as a phone number's last ten digits), and every entity gets a
 surrogate from the key and the entity: digits for digits, letters for letters of the same script and
-case, names of the title's gender. Two entities with one surrogate, or a surrogate that is itself an
+case, names of the title's gender. A name is two kinds of entities, given names and a family name, so that
+"Mrs. Jane Doe" and "Mrs. Doe" share theirs; a full name found after a title is replaced wherever else
+in the same text it stands without one. Two entities with one surrogate, or a surrogate that is itself an
 entity of the corpus, are drawn again until all differ, so distinct things stay distinct, and one thing
 has one surrogate everywhere. Then the mentions are put back in their own format.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.runtime import drop_stash, scratch, stash, table
 
 # What a mention looks like, in the order in which alternatives are tried.
+_TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
-    "secret": r"(?<![\p{L}])(?i:password|passwd|secret|api_key|apikey|access_token|auth_token|token)[\"']?(?:\s{0,3}[=:]\s{0,3})[\"']?[^\s\"']{6,256}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
+    "secret": r"(?<![\p{L}])(?i:password|passwd|secret|api_key|apikey|access_token|auth_token|token)[\"']?(?:\s{0,3}[=:]\s{0,3})[\"']?[^\s\"']{6,}+",
     "key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}|(?:{_HEX4}:){{1,7}}:|::{_HEX4}(?::{_HEX4}){{0,6}})(?![0-9A-Za-z:]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9\-])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{3,4}|(?:\+[0-9]{1,3}[ .\-]?[0-9]|0[0-9])(?:[ .\-][0-9]{2}){4}|\+[1-9][0-9]{7,14})(?![0-9])",
-    "token": r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Sra?|Monsieur|Madame|Mme|Господин|Госпожа|г-н|г-жа)\.? (?:(?!(?:Mrs?|Ms|Miss|Mister|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\b)(?!\S*@)\p{Lu}\p{Ll}{1,30}[ \-]?){1,3}(?<=\p{Ll})",
+    "token": r"(?<![0-9A-Za-z])(?=[a-fA-F]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? (?:(?!(?:Mrs?|Ms|Miss|Mister|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\b)(?!\S*@)\p{{Lu}}\p{{Ll}}{{1,30}}[ \-]?){{1,3}}(?<=\p{{Ll}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Words before a secret, and how titles begin and go on.
@@ -42,6 +49,7 @@ NAMES = {
     ("cyrillic", "m"): "Иван Пётр Павел Олег Сергей Антон Максим Виктор".split(),
 }
 SYLLABLES = {"latin": "ba bel cor dan del fer gar hol jan kel lam mar nor pal ren sal".split(), "cyrillic": "ба вел гор дан дел жар зим кор лам мар нор пал рен сал тим фед".split()}
+GIVEN_ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ий"}
 ENDINGS = {("latin", "f"): "son", ("latin", "m"): "son", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов"}
 
 
@@ -51,8 +59,8 @@ def mentions(text: Column) -> Column:
 
 def hinted(text: Column) -> Column:
     """A cheap test that every text with a mention passes: a sign, a digit, the start of a key, a word or a title."""
-    out = text.contains("@") | text.rlike("[0-9]") | text.contains("AKIA") | text.contains("ASIA")
-    return out | text.rlike(f"(?i){'|'.join(SECRET_WORDS)}") | text.rlike(TITLE)
+    out = text.contains("@") | text.rlike("[0-9]") | text.contains("::") | text.contains("AKIA") | text.contains("ASIA")
+    return out | text.rlike(f"(?i){'|'.join(SECRET_WORDS)}") | text.rlike(TITLE) | text.rlike("[A-Fa-f]:[A-Fa-f]{1,4}:[A-Fa-f]{1,4}:")
 
 
 def kind_of(mention: Column) -> Column:
@@ -72,18 +80,31 @@ _VALUE = r"^(?:.*?)[=:]\s{0,3}[\"']?"
 
 def canonical(kind: Column, mention: Column) -> Column:
     """The form in which mentions of one entity agree."""
-    name = F.regexp_replace(mention, _NAME, "")
     return (
         F.when(kind == "phone", F.right(_digits(mention), F.lit(10)))
         .when(kind.isin("card", "ssn"), _digits(mention))
         .when(kind == "email", F.lower(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_replace(mention, _VALUE, ""))
-        .when(kind == "person", F.concat(F.when(mention.rlike(FEMALE), "f").otherwise("m"), F.lit(" "), name))
+        .when(kind == "ip6", F.lower(mention))
         .otherwise(mention)
     )
 
 
+def name_parts(kinds: DataFrame) -> DataFrame:
+    """mention, pos, kind (given or family) and entity of each word of the names in ``kinds``.
+
+    A given name goes with a gender, and a Cyrillic family name too, as its ending tells it.
+    """
+    name = F.regexp_replace(F.rtrim("mention"), _NAME, "")
+    gender = F.when(F.col("mention").rlike(FEMALE), "f ").otherwise("m ")
+    words = kinds.where("kind = 'person'").select("mention", gender.alias("gender"), F.split(name, " +").alias("words"))
+    each = words.select("mention", "gender", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    family = F.col("pos") == F.col("n") - 1
+    marked = ~family | F.col("word").rlike(r"\p{IsCyrillic}")
+    return each.select("mention", "pos", F.when(family, "family").otherwise("given").alias("kind"), F.concat(F.when(marked, F.col("gender")).otherwise(""), "word").alias("entity"))
+
+
 def _stream(key: Column, n: int) -> Column:
     """n*64 hexadecimal digits from a keyed hash."""
     return F.concat(*[F.sha2(F.concat(key, F.lit(f"|{i}")), 256) for i in range(n)])
@@ -106,6 +127,15 @@ def _like(form: Column, key: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _hexed(form: Column, key: Column) -> Column:
+    """Each hexadecimal digit drawn anew, in the case of the letters; others, such as colons, stay."""
+    chars = F.filter(F.split(form, ""), lambda c: c != "")
+    stream = _stream(key, 4)
+    drawn = F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9A-Fa-f]$"), F.substring(stream, F.pmod(i, F.lit(256)) + 1, F.lit(1))).otherwise(c))
+    out = F.array_join(drawn, "")
+    return F.when(form.rlike("[A-F]"), F.upper(out)).otherwise(out)
+
+
 def _nibble(stream: Column, i: int) -> Column:
     return F.conv(F.substring(stream, i, 2), 16, 10).cast("int")
 
@@ -114,16 +144,19 @@ def _pick(values: list[str], stream: Column, i: int) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(_nibble(stream, i), F.lit(len(values))))
 
 
-def _person(entity: Column, key: Column) -> Column:
-    """A name of the same number of words, script and gender."""
+def _name(kind: Column, entity: Column, key: Column, attempt: Column) -> Column:
+    """A name of the kind, script and gender: given ones from the lists at first, all others built of syllables.
+
+    Every third attempt has a syllable more, so the forms never run out.
+    """
     stream = _stream(key, 1)
-    words = F.size(F.split(entity, "[ \\-]")) - 1
+    more = F.floor(attempt / 3).cast("int")
 
     def build(script: str, gender: str) -> Column:
-        last = F.initcap(F.concat(_pick(SYLLABLES[script], stream, 1), _pick(SYLLABLES[script], stream, 3), _pick(SYLLABLES[script], stream, 5), F.lit(ENDINGS[script, gender])))
-        first = _pick(NAMES[script, gender], stream, 7)
-        second = _pick(NAMES[script, gender], stream, 9)
-        return F.when(words <= 1, last).when(words == 2, F.concat_ws(" ", first, last)).otherwise(F.concat_ws(" ", first, second, last))
+        some = F.array(*[_pick(SYLLABLES[script], stream, 2 * i + 1) for i in range(24)])
+        ending = F.when(kind == "family", F.lit(ENDINGS[script, gender])).otherwise(F.lit(GIVEN_ENDINGS[script, gender]))
+        made = F.initcap(F.concat(F.array_join(F.slice(some, 1, F.least(F.lit(24), F.when(kind == "family", 3).otherwise(2) + more)), ""), ending))
+        return F.when((kind == "given") & (attempt == 0), _pick(NAMES[script, gender], stream, 1)).otherwise(made)
 
     female, cyrillic = entity.startswith("f "), entity.rlike(r"\p{IsCyrillic}")
     return F.when(cyrillic & female, build("cyrillic", "f")).when(cyrillic, build("cyrillic", "m")).when(female, build("latin", "f")).otherwise(build("latin", "m"))
@@ -146,15 +179,15 @@ def draw(kind: Column, entity: Column, secret: Column, attempt: Column) -> Colum
     address = F.concat_ws(".", *[F.pmod(_nibble(stream, 2 * i + 1), F.lit(223 if not i else 254)) + 1 for i in range(4)])
     suffix = F.regexp_extract(entity, r"(?:@example|\.example)?\.[^.@]+$", 0)
     email = F.concat(F.left(like, F.length(entity) - F.length(suffix)), suffix)
-    hexed = F.array_join(F.transform(F.filter(F.split(entity, ""), lambda c: c != ""), lambda c, i: F.substring(_stream(key, 1), F.pmod(i, F.lit(64)) + 1, F.lit(1))), "")
     return (
-        F.when(kind == "person", _person(entity, key))
+        F.when(kind.isin("given", "family"), _name(kind, entity, key, attempt))
         .when(kind == "ip", address)
+        .when(kind == "ip6", _hexed(entity, key))
         .when((kind == "card") & (_luhn(entity) == 0), F.concat(body, check))
         .when(kind == "email", email)
         .when(kind == "key", F.concat(F.left(entity, F.lit(4)), F.substring(like, 5, 100)))
         .when(kind == "iban", F.concat(F.left(entity, F.lit(2)), F.substring(like, 3, 100)))
-        .when((kind == "token") | (kind == "secret") & entity.rlike("^[0-9a-f]+$"), hexed)
+        .when((kind == "token") | (kind == "secret") & entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hexed(entity, key))
         .otherwise(like)
     )
 
@@ -173,8 +206,10 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     while True:
         drawn = open_.withColumn("surrogate", draw(F.col("kind"), F.col("entity"), F.lit(secret), F.lit(attempt)))
         if attempt >= 8:
-            drawn = drawn.withColumn("surrogate", F.concat("surrogate", _like(F.lit("0" * (attempt - 7)), F.concat_ws("|", F.lit(secret), "entity", F.lit(attempt).cast("string")))))
-        form = F.when(F.col("kind") == "person", F.concat(F.left("entity", F.lit(2)), "surrogate")).otherwise(F.col("surrogate"))
+            named = F.col("kind").isin("given", "family")
+            drawn = drawn.withColumn("surrogate", F.when(named, F.col("surrogate")).otherwise(F.concat("surrogate", _like(F.lit("0" * (attempt - 7)), F.concat_ws("|", F.lit(secret), "entity", F.lit(attempt).cast("string"))))))
+        marked = F.col("kind").isin("given", "family") & F.col("entity").rlike("^[fm] ")
+        form = F.when(marked, F.concat(F.left("entity", F.lit(2)), "surrogate")).otherwise(F.col("surrogate"))
         drawn = stash(drawn.withColumn("form", form).withColumn("nth", F.row_number().over(order)), f"drawn{attempt}")
         free = drawn.where("nth = 1").join(taken.select("kind", F.col("surrogate").alias("form")), ["kind", "form"], "left_anti")
         done = stash(free.select("kind", "entity", "surrogate", "form"), f"accepted{attempt}")
@@ -214,9 +249,22 @@ def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
     )
 
 
-def replace_entities(docs: DataFrame, secret: str = "folio", text: str = "text") -> DataFrame:
+def _bare(text: Column, names: Column) -> tuple[Column, Column]:
+    """``text`` with the full names (structs old, new) that stand in it without a title replaced, and how many do."""
+    longest = F.array_sort(names, lambda x, y: F.length(y["old"]) - F.length(x["old"]))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(longest, lambda x: x["old"]), "|"), F.lit(r")(?!\p{L})"))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    new = F.map_from_entries(F.transform(names, lambda x: F.struct(x["old"].alias("key"), x["new"].alias("value"))))
+    whole = F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda s, m: F.concat(s, F.coalesce(F.element_at(new, m), F.lit("")))), "")
+    some = F.size(names) > 0
+    return F.when(some, whole).otherwise(text), F.when(some, F.size(found)).otherwise(0)
+
+
+def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the mentions in ``text`` replaced, and ``n_entities`` (mentions found).
 
+    ``secret`` is the key; who has it can draw the surrogates of a guessed entity again, so it must not be published.
+
     Null and empty texts and those without mentions stay as they are, with 0. The same key, mention and set
     of entities always give the same surrogate; equal texts get equal results, so rows are told apart by
     their text alone and need no id. Only texts with mentions are shuffled. A column n_entities is replaced.
@@ -228,21 +276,38 @@ def replace_entities(docs: DataFrame, secret: str = "folio", text: str = "text")
     found = rows.where(maybe).withColumn("_m", mentions(t))
     keys = {"_a": F.xxhash64(t), "_b": F.xxhash64(t, F.lit(1))}
     with scratch() as keep:
-        listed = keep(stash(found.where(F.size("_m") > 0).select(*[v.alias(k) for k, v in keys.items()], F.array_distinct("_m").alias("_m")).distinct(), "mentions"))
-        single = listed.select(F.explode("_m").alias("mention")).distinct()
+        listed = keep(stash(found.where(F.size("_m") > 0).select(*[v.alias(k) for k, v in keys.items()], "_m").distinct(), "mentions"))
+        single = listed.select(F.explode(F.array_distinct("_m")).alias("mention")).distinct()
         kinds = stash(single.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention"))), "kinds")
-        new = surrogates(kinds, secret)
-        put = keep(stash(kinds.join(new, ["kind", "entity"]).select("mention", _render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")), "replacements"))
-    by_text = listed.select("_a", "_b", F.explode("_m").alias("mention")).join(put, "mention").groupBy("_a", "_b").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("_new"))
+        parts = stash(name_parts(kinds), "nameparts")
+        others = kinds.where("kind <> 'person'")
+        new = surrogates(others.select("kind", "entity").unionByName(parts.select("kind", "entity")), secret)
+        plain_ = others.join(new, ["kind", "entity"]).select("mention", _render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), F.lit(None).cast("struct<old: string, new: string>").alias("name"))
+        words = F.array_sort(F.collect_list(F.struct("pos", "surrogate")))
+        named = parts.join(new, ["kind", "entity"]).groupBy("mention").agg(F.array_join(F.transform(words, lambda x: x["surrogate"]), " ").alias("full"), F.count(F.lit(1)).alias("n"))
+        old = F.regexp_replace("mention", _NAME, "")
+        full = F.when(F.col("n") > 1, F.struct(old.alias("old"), F.col("full").alias("new")))
+        named = named.select("mention", F.concat(F.regexp_extract("mention", _NAME, 0), "full").alias("new"), full.alias("name"))
+        put = keep(stash(plain_.unionByName(named), "replacements"))
+    # the replacements of a text in the order of its mentions; a very common mention is one key of a join, which Spark can split
+    each = listed.select("_a", "_b", F.posexplode("_m").alias("pos", "mention")).join(put, "mention")
+    by_text = each.groupBy("_a", "_b").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"), F.collect_set("name").alias("_names"))
     hit = found.where(F.size("_m") > 0).withColumns(keys).join(by_text, ["_a", "_b"])
     between = F.split(t, ANY, -1)
-    whole = F.array_join(F.zip_with(between, F.col("_m"), lambda s, m: F.concat(s, F.coalesce(F.element_at("_new", m), m, F.lit("")))), "")
-    replaced = hit.withColumns({text: whole, "n_entities": F.size("_m")})
+    whole = F.array_join(F.zip_with(between, F.col("_new"), lambda s, m: F.concat(s, F.coalesce(m["new"], F.lit("")))), "")
+    whole, more = _bare(whole, F.col("_names"))
+    replaced = hit.withColumns({"n_entities": F.size("_m") + more, text: whole})
     plain = rows.where(~maybe | (F.size(mentions(t)) == 0)).withColumn("n_entities", F.lit(0))
     cols = [*[F.col(f"`{c}`") for c in columns], F.col("n_entities")]
     return replaced.select(*cols).unionByName(plain.select(*cols))
 
 
+#: Setting with the key of the query; without it a key is drawn that nobody keeps.
+KEY = "spark.folio.pii.key"
+
+
 def op3_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    got = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, n_entities and the text with surrogates, of all documents."""
+    key = spark.conf.get(KEY, None) or secrets.token_hex(32)
+    got = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return got.select("doc_id", F.col("n_entities").cast("long").alias("n_entities"), "text")
