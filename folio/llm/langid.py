@@ -95,15 +95,27 @@ class Model:
         return names, np.where([bool(c) for c in cleaned], post[np.arange(len(best)), best], 0.0)
 
 
+def shares(counts: dict[str, int], column: str, rows: int) -> Column:
+    """By value of a column the share of its rows that are learned from: all of rare ones, as many of each other."""
+    share, left = F.lit(0.0), rows
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        own = min(1.0, left / (len(counts) - i) / n)
+        left -= own * n
+        share = F.when(F.col(column) == name, own).otherwise(share)
+    return share
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
     """Count grams by language over at most about ``rows`` labelled rows, chosen by hash of the text.
 
+    The rows are dealt evenly over the languages, and what a rare one leaves goes to the others; the prior is of all rows.
+
     Rows without text or language are left out; without any the model has no language and predicts ``und``.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null")
-    share = min(1.0, rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    whole = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = known.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < shares(whole, "l", rows) * (1 << 30))
 
     def count(frames):
         for pdf in frames:
@@ -123,7 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT
     grams_ = (got["bucket"] >= 0).to_numpy()
     counts[got["bucket"][grams_], column[grams_]] = got["n"][grams_]
     seen[column[~grams_]] = got["n"][~grams_]
-    return Model(names, counts, seen)
+    return Model(names, counts, np.array([float(whole.get(k, n)) for k, n in zip(names, seen, strict=True)]))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -141,7 +153,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return spread(docs).select(*[F.col(f"`{c}`") for c in keep], predict(F.col(f"`{text}`")).alias("_p")).select(*[F.col(f"`{c}`") for c in keep], "_p.lang_pred", "_p.score")
+    # a row's own columns travel in a struct, so that none can clash with the prediction
+    made = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict(F.col(f"`{text}`")).alias("p"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in keep], "p.lang_pred", "p.score")
 
 
 def fold(row_id: str, folds: int) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import kernel
-from folio.runtime import drop_stash, ship, spread, stash, table
+from folio.llm.langid import shares
+from folio.runtime import ship, spread, stash, table
 
 BUCKETS = 1 << 16
 #: Labelled rows that are learned from at most: a sample by hash of the id.
@@ -72,13 +73,15 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, domain: str = "domain", text: str = "text", row_id: str = "doc_id", rows: int = FIT_ROWS) -> Classifier:
     """Learn from at most about ``rows`` labelled rows, chosen by hash of the id, which alone are broadcast.
 
+    The rows are dealt evenly over the domains, and what a rare one leaves goes to the others; the prior is of all rows.
+
     Null ids, domains and texts are left out; of several labels of an id the least counts. Without labels
     there is one domain, "none".
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(f"`{row_id}`").alias("i"), F.col(f"`{domain}`").alias("y")).dropna().groupBy("i").agg(F.min("y").alias("y"))
-    share = min(1.0, rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    whole = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = known.where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(1 << 30)) < shares(whole, "y", rows) * (1 << 30))
     sample = docs.select(F.col(f"`{row_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").join(F.broadcast(chosen), "i")
 
     def count(frames):
@@ -98,11 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "domain", text: str =
     grams = (got["bucket"] >= 0).to_numpy()
     counts[got["bucket"][grams], at[grams]] = got["n"][grams]
     docs_[at[~grams]] = got["n"][~grams]
-    return Classifier(domains, counts, docs_)
+    return Classifier(domains, counts, np.array([float(whole.get(d, n)) for d, n in zip(domains, docs_, strict=True)]))
 
 
-def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``_tokens`` and ``_p`` (posteriors in the order of ``model.domains``)."""
+def memberships(docs: DataFrame, model: Classifier, text: str, columns: list[str]) -> DataFrame:
+    """row (a struct of ``columns``), tokens and p (posteriors in the order of ``model.domains``)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -111,14 +114,15 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
         p, tokens = shared.value.posteriors(list(s))
         return pd.DataFrame({"tokens": tokens, "p": list(p)})
 
-    return spread(docs).withColumn("_m", of(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_m.tokens").alias("_tokens"), F.col("_m.p").alias("_p"))
+    made = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), of(F.col(f"`{text}`")).alias("m"))
+    return made.select("row", "m.tokens", "m.p")
 
 
 def _rate(steps: list[np.ndarray], least: float) -> Column:
     """The rate of a row after the steps: from 1, each step and the projection in turn."""
     r = F.lit(1.0)
     for z in steps:
-        move = sum((F.get("_p", k) * float(v) for k, v in enumerate(z)), F.lit(0.0))
+        move = sum((F.get("p", k) * float(v) for k, v in enumerate(z)), F.lit(0.0))
         r = F.greatest(F.lit(float(least)), r - move)
     return r
 
@@ -136,10 +140,10 @@ def fit_rates(members: DataFrame, target: np.ndarray, least: float = 0.0, rounds
     best, stride, step, pull = np.inf, 1.0, None, np.full(k, -1.0)
     for _ in range(rounds + 1):
         trial = steps if step is None else [*steps, step * stride]
-        up = sum((F.get("_p", i) * float(v) for i, v in enumerate(pull)), F.lit(0.0)) < 0
-        rows = members.select("_tokens", "_p", _rate(trial, least).alias("_r")).select("_tokens", "_p", "_r", ((F.col("_r") > least) | up).alias("_free"))
-        sums = [F.sum(F.col("_r") * F.col("_tokens") * F.get("_p", i)) for i in range(k)]
-        gram = [F.sum(F.when(F.col("_free"), F.col("_tokens") * F.get("_p", i) * F.get("_p", j))) for i in range(k) for j in range(i + 1)]
+        up = sum((F.get("p", i) * float(v) for i, v in enumerate(pull)), F.lit(0.0)) < 0
+        rows = members.select("tokens", "p", _rate(trial, least).alias("rate")).select("tokens", "p", "rate", ((F.col("rate") > least) | up).alias("free"))
+        sums = [F.sum(F.col("rate") * F.col("tokens") * F.get("p", i)) for i in range(k)]
+        gram = [F.sum(F.when(F.col("free"), F.col("tokens") * F.get("p", i) * F.get("p", j))) for i in range(k) for j in range(i + 1)]
         got = [float(x or 0.0) for x in rows.agg(*sums, *gram).first()]
         miss = (np.array(got[:k]) - target) / scale
         size = float(np.abs(miss).max())
@@ -158,8 +162,8 @@ def fit_rates(members: DataFrame, target: np.ndarray, least: float = 0.0, rounds
     return steps
 
 
-def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None, least: float = 0.0, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``n_tokens``, a column ``p_<domain>`` each, and ``rate``.
+def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None, least: float = 0.0, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or ``columns`` alone, ``n_tokens``, a column ``p_<domain>`` each, and ``rate``.
 
     ``weights``: the shares of the named domains in the ``total`` tokens that they are to have (as many as
     they have, if not given; with ``least`` over 0 at least as many as let every one keep that share of what it
@@ -168,10 +172,11 @@ def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: fl
     Columns of these names are replaced. Empty input: no rows.
     """
     new = ["n_tokens", *(f"p_{d}" for d in model.domains), "rate"]
-    lean = docs.drop(*new)
-    members = stash(memberships(lean.select(F.col(f"`{text}`").alias("t")), model, "t").select("_tokens", "_p"), "members")
+    kept = [c for c in columns or docs.columns if c not in new]
+    # every text is classified once; what the descent reads of the table are two narrow columns
+    members = stash(memberships(docs, model, text, kept), "members")
     k = len(model.domains)
-    got = members.agg(*[F.sum(F.col("_tokens") * F.get("_p", i)) for i in range(k)]).first()
+    got = members.agg(*[F.sum(F.col("tokens") * F.get("p", i)) for i in range(k)]).first()
     have = np.array([float(x or 0.0) for x in got])
     named = np.array([d in weights for d in model.domains])
     w = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
@@ -182,16 +187,16 @@ def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], total: fl
             total = max([total, *(least * h / x for h, x in zip(have, w, strict=True) if x > 0)])
     target = np.where(named, w * total, have * max(1.0, least))
     steps = fit_rates(members, target, least)
-    drop_stash(members)
-    out = memberships(lean, model, text).withColumn("rate", _rate(steps, least))
-    return out.select(*[F.col(f"`{c}`") for c in lean.columns], F.col("_tokens").alias("n_tokens"), *[F.get("_p", i).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate")
+    out = members.withColumn("rate", _rate(steps, least))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("tokens").alias("n_tokens"), *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate")
 
 
 def repeat(mixed: DataFrame, columns: list[str], salt: int = 5) -> DataFrame:
     """``columns`` of each row as often as its rate says: the whole part, and one more by a hash of the row."""
     u = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns], F.lit(salt)), F.lit(1 << 30)) / (1 << 30)
     times = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return mixed.where(times > 0).select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return mixed.where(times > 0).select(F.explode(F.array_repeat(row, times)).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -207,4 +212,4 @@ WEIGHTS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, quality_domains(table(spark, sf_dir, "labels")))
-    return mix(docs, model, WEIGHTS).drop("text")
+    return mix(docs, model, WEIGHTS, columns=["doc_id"])

@@ -270,8 +270,9 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
     their text alone and need no id. Only texts with mentions are shuffled. A column n_entities is replaced.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
-    t = F.col(f"`{text}`")
+    # a row's own columns travel in a struct, so that none can clash with those made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("t"))
+    t = F.col("t")
     maybe = F.coalesce(hinted(t), F.lit(False))
     found = rows.where(maybe).withColumn("_m", mentions(t))
     keys = {"_a": F.xxhash64(t), "_b": F.xxhash64(t, F.lit(1))}
@@ -296,10 +297,10 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
     between = F.split(t, ANY, -1)
     whole = F.array_join(F.zip_with(between, F.col("_new"), lambda s, m: F.concat(s, F.coalesce(m["new"], F.lit("")))), "")
     whole, more = _bare(whole, F.col("_names"))
-    replaced = hit.withColumns({"n_entities": F.size("_m") + more, text: whole})
-    plain = rows.where(~maybe | (F.size(mentions(t)) == 0)).withColumn("n_entities", F.lit(0))
-    cols = [*[F.col(f"`{c}`") for c in columns], F.col("n_entities")]
-    return replaced.select(*cols).unionByName(plain.select(*cols))
+    replaced = hit.select("row", whole.alias("t"), (F.size("_m") + more).alias("n_entities"))
+    plain = rows.where(~maybe | (F.size(mentions(t)) == 0)).select("row", "t", F.lit(0).alias("n_entities"))
+    out = replaced.unionByName(plain)
+    return out.select(*[(t if c == text else F.col("row").getField(c)).alias(c) for c in columns], "n_entities")
 
 
 #: Setting with the key of the query; without it a key is drawn that nobody keeps.

@@ -27,9 +27,11 @@ def _part(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 64 - BITS)
 
 
-def with_key(docs: DataFrame, text: str, row_id: str, overhead: int) -> DataFrame:
+def with_key(docs: DataFrame, text: str, row_id: str, overhead: int, columns: list[str]) -> DataFrame:
+    """row (a struct of ``columns``, so that none can clash with those made here), both parts of the key, and the size."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.withColumns({"_h1": _part(t, 1), "_h2": _part(F.col(f"`{row_id}`").cast("string"), 2), "_size": F.octet_length(t).cast("long") + F.lit(overhead)})
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    return docs.select(row, _part(t, 1).alias("_h1"), _part(F.col(f"`{row_id}`").cast("string"), 2).alias("_h2"), (F.octet_length(t).cast("long") + F.lit(overhead)).alias("_size"))
 
 
 def _probe(key: DataFrame, depth: int, prefixes: list[tuple[int, int]]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
@@ -107,7 +109,8 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, overhead:
     """
     from pyspark.sql import Window
 
-    keyed = with_key(docs.drop("size", "shard", "slot"), text, row_id, overhead)
+    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    keyed = with_key(docs, text, row_id, overhead, kept)
     key = stash(keyed.select("_h1", "_h2", "_size"), "shardkey")
     cuts = splitters(key, shards, tolerance)
     place = {"shard": _shard(cuts), "_a": F.shiftrightunsigned("_h1", BITS - DEAL[0]), "_b": F.shiftrightunsigned("_h2", BITS - DEAL[1])}
@@ -119,7 +122,7 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, overhead:
     inner = Window.partitionBy("shard", "_a", "_b").orderBy("_h1", "_h2")
     placed = keyed.withColumns(place).withColumn("_in", F.row_number().over(inner) - 1)
     out = placed.join(pieces, ["shard", "_a", "_b"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot")], F.col("_size").alias("size"), F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_in")).cast("long").alias("slot"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("_size").alias("size"), F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_in")).cast("long").alias("slot"))
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

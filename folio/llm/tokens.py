@@ -263,7 +263,9 @@ def prefix_tables(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
         got = [c.table(t) for t in s]
         return pd.DataFrame({"ends": [g[0] for g in got], "counts": [g[1] for g in got]})
 
-    return docs.withColumn("_t", tables(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_t.ends").alias("prefix_ends"), F.col("_t.counts").alias("prefix_counts"))
+    own = [c for c in docs.columns if c not in ("prefix_ends", "prefix_counts")]
+    made = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tables(F.col(f"`{text}`")).alias("table"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in own], F.col("table.ends").alias("prefix_ends"), F.col("table.counts").alias("prefix_counts"))
 
 
 def truncate(tables: DataFrame, budget: int, text: str = "text") -> DataFrame:

@@ -337,8 +337,9 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
         got = [g.events(t) for t in s]
         return pd.DataFrame({"toxicity": [g.score(len(t or ""), [x[2] for x in e], [x[3] for x in e]) for t, e in zip(s, got, strict=True)], "matches": [[f"{x[0]}:{x[1]}:{x[2]}" for x in e] for e in got]})
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("toxicity", "matches")]
-    return spread(docs).select(*keep, of(F.col(f"`{text}`")).alias("_of")).select(*keep, "_of.toxicity", "_of.matches")
+    # a row's own columns travel in a struct, so that none can clash with the result
+    made = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), of(F.col(f"`{text}`")).alias("of"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("toxicity", "matches")], "of.toxicity", "of.matches")
 
 
 def learned(spark, sf_dir: str) -> Grammar:

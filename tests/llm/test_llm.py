@@ -20,6 +20,7 @@ def frame(spark, rows, extra: bool = True):
     from pyspark.sql import functions as F
 
     clashing = ("size", "shard", "slot", "n_tokens", "items", "hit_spans", "lang_pred", "score", "toxicity", "matches", "rate", "fingerprint", "n_entities")
+    clashing += ("row", "key", "t", "p", "of", "id", "th", "removed", "tokens", "_", "_m", "_a", "_b", "_p", "_t", "_of", "_id", "_th", "_h1", "_h2", "_size", "_in", "_new", "_hits", "_key")
     return df.withColumns({c: F.lit("mine") for c in clashing}) if extra else df
 
 
@@ -220,6 +221,25 @@ def test_components_both_ways(spark):
     assert {r["node"]: r["component"] for r in joined(df.where("u <> v")).collect()} == want
 
 
+def test_own_columns_come_through(spark):
+    """Columns with the names that operators use inside keep what the caller put there."""
+    from folio.llm import decontaminate, langid, line_dedup, mixing, pii, sharding, syncmers, tokens, toxicity
+
+    rows = [(1, "Mrs. Doe lives here\nand a second line"), (1, "Mrs. Doe lives here\nand a second line"), (2, None)]
+    docs = frame(spark, rows)
+    own = [c for c in docs.columns if c.startswith("_") or c in ("row", "key", "t", "p", "of", "id", "th", "removed", "tokens")]
+    grammar = toxicity.Grammar([], [])
+    made = [
+        pii.replace_entities(docs, "k"), langid.identify(docs, langid.fit(spark.createDataFrame([("hi", "en")], "text string, lang string"))), sharding.shard(docs, 2),
+        toxicity.score(docs, grammar), syncmers.fingerprint(docs), line_dedup.dedupe_lines(docs),
+        decontaminate.find_hits(docs, spark.createDataFrame([(1, "second line")], "item_id long, text string")),
+        mixing.mix(docs, mixing.fit(docs, spark.createDataFrame([(1, "a")], "doc_id long, domain string")), {"a": 1.0}),
+    ]
+    for out in made:
+        got = out.select("doc_id", *own).collect()
+        assert len(got) == len(rows) and {tuple(r)[1:] for r in got} == {("mine",) * len(own)}
+
+
 # -- 2: language -----------------------------------------------------------------------------------
 
 
@@ -404,7 +424,7 @@ def test_rates_at_their_bound(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.3] * 3, 400)
     tokens = rng.integers(1, 500, 400)
-    df = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "_tokens long, _p array<double>")
+    df = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, p array<double>")
     have = (tokens[:, None] * p).sum(0)
     target = have * [0.3, 1.0, 2.0]
     steps = mixing.fit_rates(df, target)
