@@ -25,20 +25,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 or more join, the one of the least id.
+    """Of documents that links of similarity 0.8 or more join, the one of the least id, null ids first.
 
-    Where ids repeat or are null, a text stands for its rows, and the least row of each text stays.
+    A row is known by its id and its text, so ids may repeat. Of rows that agree in both the one that sorts first
+    by all its columns stays; null and empty texts all stay.
     """
-    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    key = F.col("doc_id") if n == ids else F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_key", key)
-    classes = jaccard_join.similar(keyed.select("_key", "text"), row_id="_key")
-    gone = stash(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_key")).distinct(), "copies")
-    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_key", "left_anti")
-    if n != ids:
-        worded = F.coalesce("text", F.lit("")) != ""
-        kept = kept.where(worded).dropDuplicates(["_key"]).unionByName(kept.where(~worded))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    t = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), (t != "").alias("worded"))
+    classes = jaccard_join.similar(docs.select(key.alias("key"), "text"), row_id="key")
+    gone = stash(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("key")).distinct(), "copies")
+    kept = keyed.join(_near(gone), "key", "left_anti")
+    again = stash(keyed.where("worded").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
+    if not again.isEmpty():
+        repeated = kept.join(_near(again), "key", "left_semi").where("worded")
+        single = kept.join(_near(again.withColumn("repeats", F.lit(True))), "key", "left").where("not worded or repeats is null")
+        kept = single.select("row").unionByName(repeated.groupBy("key").agg(F.min("row").alias("row")).select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _near(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
