@@ -1,10 +1,13 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text's units are its runs of non-blank characters, cut after UNIT characters, so that a text without
-blanks has units too. A k-mer of K units is a closed syncmer if the least of its S-mers stands at its first
+A text's units are its runs of up to UNIT non-blank characters; a longer run is cut after certain characters, and
+scripts without blanks are cut after each character, so that where units begin depends on the characters there
+and an insertion shifts none of those behind it. A k-mer of K units is a closed syncmer if the least of its S-mers stands at its first
 or last place. Whether it is depends on the k-mer alone, so an edit changes only the anchors that
-touch it, and every window of K - S + 1 k-mers holds at least one. The fingerprint is the SIZE least anchor
-hashes in order; the likeness of two fingerprints is the share of the least hashes of both that both hold.
+touch it, and every window of K - S + 1 k-mers holds at least one. All anchors with their positions serve for
+positional matching. The fingerprint is a sketch of them, the SIZE least anchor hashes in order; the likeness of two
+fingerprints is the share of the least hashes of both that both hold, an estimate with a standard error of at most
+0.0625 of the share of anchors in common, and exact for texts of up to SIZE anchors together.
 """
 
 from __future__ import annotations
@@ -15,6 +18,10 @@ from pyspark.sql import functions as F
 from folio.runtime import scratch, stash, table
 
 K, S, UNIT, SIZE = 5, 2, 12, 64
+#: Characters of scripts that are written without blanks, and those after which a long run is cut.
+_DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uA960-\uA97F\uAC00-\uD7FF\uF900-\uFAFF"
+_ENDS = "".join(f"\\x{c:02x}" for c in range(0x21, 0x7F) if c % 4 == 1)
+UNITS = rf"(?<![^\s{_DENSE}])[^\s{_DENSE}]{{1,{UNIT}}}(?![^\s{_DENSE}])|[{_DENSE}]|[^\s{_DENSE}{_ENDS}]*[{_ENDS}]|[^\s{_DENSE}{_ENDS}]+"
 #: The id that a null id counts as.
 NULL_ID = -(1 << 63)
 
@@ -24,7 +31,7 @@ def anchors(text: Column) -> Column:
 
     A text of fewer than K units, but not none, has one anchor of all its units; an empty or null one none.
     """
-    units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0)), lambda u: F.xxhash64(u))
+    units = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u))
 
     def of(units: Column) -> Column:
         smers = F.zip_with(units, F.slice(units, S, F.greatest(F.size(units), F.lit(1))), lambda a, b: F.xxhash64(a, b))
@@ -47,9 +54,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _least(found: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SIZE)
+
+
 def sketch(text: Column) -> Column:
     """The SIZE least distinct anchor hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"]))), 1, SIZE)
+    return _least(anchors(text))
 
 
 def as_text(least: Column) -> Column:
@@ -71,10 +82,20 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def positional_matches(a: Column, b: Column) -> Column:
-    """Anchors of ``a`` that ``b`` has too, as structs (pos in a, pos in b), for anchors that ``b`` has once."""
-    once = F.map_from_entries(F.transform(F.array_distinct(F.transform(b, lambda x: x["hash"])), lambda h: F.struct(h.alias("key"), F.transform(F.filter(b, lambda x: x["hash"] == h), lambda x: x["pos"]).alias("value"))))
-    hits = F.filter(a, lambda x: F.size(F.element_at(once, x["hash"])) == 1)
-    return F.transform(hits, lambda x: F.struct(x["pos"].alias("a"), F.get(F.element_at(once, x["hash"]), 0).alias("b")))
+    """Anchors that ``a`` and ``b`` each have once, as structs (a, b: their positions), in the order of the hashes.
+
+    Both lists are sorted together, where a match is two neighbours of one hash that no third one joins.
+    """
+    tagged = lambda x, side: F.transform(x, lambda y: F.struct(y["hash"].alias("hash"), F.lit(side).alias("side"), y["pos"].alias("pos")))
+
+    def of(both: Column) -> Column:
+        at = lambda i: F.get(both, i)
+        same = lambda i, j: F.coalesce(at(i)["hash"] == at(j)["hash"], F.lit(False))
+        pair = lambda i: same(i, i + 1) & (at(i)["side"] < at(i + 1)["side"]) & ~same(i, i - 1) & ~same(i + 1, i + 2)
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(both) - 2, F.lit(0))), pair)
+        return F.transform(firsts, lambda i: F.struct(at(i)["pos"].alias("a"), at(i + 1)["pos"].alias("b")))
+
+    return _let(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), of)
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -94,6 +115,8 @@ def next_ids(ids: DataFrame) -> DataFrame:
 def edited(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``k``, ``text`` and ``least`` (sketch) of each row, with ``edited`` text and ``next_least``.
 
+    Ids are whole numbers, or strings of such; other types raise an error. The least whole number counts as null.
+
     The last quarter of a text's code points gives way to the first as many of the next row's, by ascending
     id. Of rows with one id the least text is the next; null ids come first, null texts are empty.
     """
@@ -110,9 +133,12 @@ def edited(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataF
 
 def op8_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
     got = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    got = got.select("k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "least", "next_least", sketch(F.col("edited")).alias("edited_least"))
+    own, other = anchors(F.col("text")), anchors(F.col("edited"))
+    got = got.select("k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "least", "next_least", own.alias("own"), other.alias("other"))
+    got = got.withColumns({"edited_least": _least(F.col("other")), "n_matched": F.size(positional_matches(F.col("own"), F.col("other"))).cast("long"), "n_anchors": F.size("own").cast("long")})
     return got.select(
         F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_chars", "edited_sha256",
         as_text(F.col("least")).alias("fingerprint"), as_text(F.col("edited_least")).alias("edited_fingerprint"),
         likeness(F.col("least"), F.col("edited_least")).alias("near_edited"), likeness(F.col("least"), F.col("next_least")).alias("near_next"),
+        "n_anchors", "n_matched",
     )

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from folio.runtime import ship, spread
 
+#: Characters of a piece beyond which a table holds every place in it.
+LONG = 32
 #: Pieces, and words, of which a worker remembers the counts: this many new ones, and the generation before.
 MEMO = 400_000
 
@@ -186,14 +188,38 @@ class PrefixCounter:
             at = i + len(s)
         return n + sum(map(self.word_count, self._pretokens(piece[at:] if at else piece)))
 
+    def piece_prefixes(self, piece: str) -> list[int]:
+        """Tokens of piece[:0], piece[:1], ... piece, from the programs of its pre-tokens."""
+        t = self.tokenizer
+        text = t.normalizer.normalize_str(piece) if t.normalizer else piece
+        if any(s in piece for s in self.specials) or len(text) != len(piece):  # characters of both don't correspond
+            return [self.piece_count(piece[:k]) for k in range(len(piece) + 1)]
+        out, done = [0], 0
+        for word, (a, b) in t.pre_tokenizer.pre_tokenize_str(text):
+            counts, size = self.word_prefixes(word), 0
+            for c in text[a:b]:
+                size += len(c.encode())
+                out.append(done + counts[size])
+            done = out[-1]
+        return out if len(out) == len(piece) + 1 else [self.piece_count(piece[:k]) for k in range(len(piece) + 1)]
+
     def table(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ends of the pieces in characters, and the token count of the text up to each."""
+        """Ends of prefixes in characters, and the token count of the text up to each.
+
+        Every piece's end, and every place within a piece of more than LONG characters.
+        """
         ends, counts, n = [], [], 0
         memo, count = self._memo.get, self.piece_count
         for m in _PIECE.finditer(text or ""):
             p = m.group()
-            got = memo(p)
-            n += count(p) if got is None else got
+            if len(p) > LONG:
+                inside = self.piece_prefixes(p)
+                ends += range(m.start() + 1, m.end())
+                counts += [n + x for x in inside[1:-1]]
+                n += inside[-1]
+            else:
+                got = memo(p)
+                n += count(p) if got is None else got
             ends.append(m.end())
             counts.append(n)
         return ends, counts
@@ -207,21 +233,26 @@ class PrefixCounter:
         return n
 
     def at(self, text: str, chars: int, table: tuple[list[int], list[int]]) -> int:
-        """Tokens of text[:chars]: the table's count of whole pieces, and that of the open piece's prefix."""
+        """Tokens of text[:chars]: the table's count of the prefix before, and that of what the open piece has up to there."""
         ends, counts = table
         i = bisect_right(ends, chars)
+        if i and ends[i - 1] == chars:
+            return counts[i - 1]
+        m = _PIECE.search(text, ends[i - 1] if i else 0)
         done = counts[i - 1] if i else 0
-        tail = text[ends[i - 1] if i else 0 : chars].strip(" \t\n\r\f\v")
-        return done + (self._prefix(tail) if tail else 0)
-
-    def _prefix(self, tail: str) -> int:
-        return self.piece_count(tail)
+        return done + (self.piece_prefixes(m.group())[chars - m.start()] if m and m.start() < chars else 0)
 
     def cut(self, text: str, budget: int, table: tuple[list[int], list[int]]) -> int:
-        """The most characters of whole pieces whose tokens fit the budget."""
+        """The most characters whose tokens fit the budget: the last prefix of the table that does, and what of the next piece does."""
         ends, counts = table
-        i = bisect_right(counts, budget)
-        return ends[i - 1] if i else 0
+        i = next((k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget), -1)
+        done, at = (counts[i], ends[i]) if i >= 0 else (0, 0)
+        m = _PIECE.search(text, at)
+        if m is None:
+            return at
+        inside = self.piece_prefixes(m.group())  # the open piece alone
+        k = max(k for k, n in enumerate(inside) if not k or done + n <= budget)
+        return m.start() + k if k else at
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -269,9 +300,13 @@ def prefix_tables(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
 
 
 def truncate(tables: DataFrame, budget: int, text: str = "text") -> DataFrame:
-    """Cut each text at the last piece whose prefix count fits ``budget``: array look-ups, no encoding."""
-    fits = f"size(filter(prefix_counts, n -> n <= {int(budget)}))"
-    return tables.withColumn(text, F.expr(f"if({fits} = 0, '', left(`{text}`, element_at(prefix_ends, greatest({fits}, 1))))"))
+    """Cut each text at the last prefix of its table that fits ``budget``: array look-ups, no encoding.
+
+    That is the end of a piece, or any place in a long one. Null texts stay null.
+    """
+    fits = F.filter(F.arrays_zip("prefix_ends", "prefix_counts"), lambda x: x["prefix_counts"] <= int(budget))
+    end = F.coalesce(F.array_max(F.transform(fits, lambda x: x["prefix_ends"])), F.lit(0))
+    return tables.withColumn(text, F.left(F.col(f"`{text}`"), end))
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:

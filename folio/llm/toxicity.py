@@ -2,8 +2,9 @@
 
 Lexical transducers turn a clause's words into symbols: insult, threat, target, negation, reporting, other.
 Small machines for the scope of a negation, of reported speech and of a target are composed into one
-product machine that reads the symbols and emits an event at every insult or threat, such as "insult,
-aimed at a target, not negated, reported". Each kind of event has a weight, and a text's score is the
+product machine that reads the symbols forwards; one for a target that follows reads them backwards. Where both meet
+at an insult or threat they emit an event, such as "insult, aimed at a target, not negated, reported". A clause
+is all between two sentence ends or line ends, however long. Each kind of event has a weight, and a text's score is the
 logistic of the summed weights of its matched clauses. An isolated word only counts through its event.
 
 Threats, targets, negations and reporting verbs are listed here. Insults are a learned automaton of whole
@@ -29,12 +30,10 @@ FIT_TOXIC, FIT_OTHER = 6_000, 14_000
 #: Texts by which a word or stem must be borne out.
 SUPPORT = 4
 STEMS = (4, 5, 6, 7)
-#: Characters on each side of an insult or threat in which its clause is read.
-REACH = 400
 
 THREATS = "kill murder hurt destroy burn shoot stab strangle matar mataré töten umbringen schlagen tuer tuerai frapper".split()
 TARGETS = "you your yours yourself u they them he she him her these those tú te ti usted ustedes vosotros du dich dir ihr euch sie tu toi vous".split()
-NEGATIONS = "not no never n't don't doesn't isn't aren't without nunca jamás nicht kein keine nie niemals ne pas jamais aucun sin ohne sans".split()
+NEGATIONS = "not no never cannot without nunca jamás nicht kein keine nie niemals ne pas jamais aucun sin ohne sans".split()
 REPORTS = "said says say told tells called calls claimed reported wrote quoted quote alleged dijo dice llamó afirmó sagte sagt nannte behauptete dit disait appelé affirmé".split()
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CUT = re.compile(r"[.!?;\n]")
@@ -67,14 +66,20 @@ def compose(*machines: dict[tuple[int, int], int]) -> dict[tuple[tuple[int, ...]
 
 #: Negation reaches 3 words on, a target 4, and a reporting verb 12.
 GRAMMAR = compose(scope(NEGATION, 3), scope(TARGET, 4), scope(REPORT, 12))
+#: Read from the end: a target that follows, up to 4 words on.
+AHEAD = compose(scope(TARGET, 4))
 
 
 def read(symbols: list[int]) -> list[tuple[int, str]]:
-    """Positions and kinds of the events of a clause; a target may also follow within 4 words."""
+    """Positions and kinds of the events of a clause."""
+    ahead, state = [], (0,)
+    for symbol in reversed(symbols):
+        ahead.append(state[0])
+        state = AHEAD[state, symbol]
     state, out = (0, 0, 0), []
     for i, symbol in enumerate(symbols):
         if symbol in (INSULT, THREAT):
-            aimed = state[1] > 0 or TARGET in symbols[i + 1 : i + 5]
+            aimed = state[1] > 0 or ahead[-1 - i] > 0
             out.append((i, ("insult", "threat")[symbol == THREAT] + "+target" * aimed + "+negated" * (state[0] > 0) + "+reported" * (state[2] > 0)))
         state = GRAMMAR[state, symbol]
     return out
@@ -120,9 +125,10 @@ class Grammar:
         return {k: v for k, v in self.__dict__.items() if k in ("words", "stems", "rates", "kinds", "slope", "bias")} | {"_ready": False}
 
     def symbol(self, word: str) -> int:
+        word = word.replace("’", "'")
         if word in self._insults or self._stems and word.startswith(self._stems):
             return INSULT
-        return self._other.get(word, OTHER)
+        return NEGATION if word.endswith("n't") else self._other.get(word, OTHER)
 
     def entry(self, word: str) -> str:
         """The entry of the lexicon that a word matches."""
@@ -137,18 +143,21 @@ class Grammar:
         low = text.lower()
         if len(low) != len(text):  # a few letters grow when lower-cased
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        out, done = [], -1
+        out, done, begin, lo, upto = [], -1, 0, 0, 0
         for end, size in self._scan.iter(low):
             at = end - size + 1
             if at < done or at and low[at - 1].isalpha():
                 continue
-            lo = max(done, 0, at - REACH)
-            cut = [m.end() for m in _CUT.finditer(low, lo, at)]
-            lo = cut[-1] if cut else lo
-            stop = _CUT.search(low, end + 1, end + 1 + REACH)
-            hi = stop.start() if stop else min(len(low), end + 1 + REACH)
-            while hi < len(low) and low[hi].isalpha():
-                hi += 1
+            if at >= upto:  # on to the clause that holds the hit; each is passed once
+                for m in _CUT.finditer(low, upto):
+                    if m.start() > at:
+                        lo, upto = begin, m.start() + 1
+                        begin = m.end()
+                        break
+                    begin = m.end()
+                else:
+                    lo, upto = begin, len(low) + 1
+            hi = min(upto - 1, len(low))
             found = list(_WORD.finditer(low, lo, hi))
             if any(m.start() <= at < m.end() and self.symbol(m.group()) in (INSULT, THREAT) for m in found):
                 out += [(found[i].start(), found[i].end(), kind, self.entry(found[i].group())) for i, kind in read([self.symbol(m.group()) for m in found])]
