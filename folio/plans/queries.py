@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
 
@@ -318,6 +319,20 @@ def first_of_each_url(spark, d):
     return own.select("page_id", "url", "seen")
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 'second' ELSE 'first' END AS converter, CASE WHEN p_partkey % 3 = 0 THEN 'again ' || p_name ELSE p_name END AS markdown FROM part")
+def convert_with_fallback(spark, d):
+    """A first set of converters that finds nothing in every third document, and a second that does."""
+    from folio.plans.model import Result
+    from folio.plans.registry import Converter, Registry
+
+    first, second = Registry(False), Registry(False)
+    first.register(Converter("first", lambda data, info, options: Result("<!-- none -->" if data.startswith(b"0") else data[2:].decode()), (".txt",)))
+    second.register(Converter("second", lambda data, info, options: Result("again " + data[2:].decode()), (".txt",)))
+    text = F.concat((F.col("p_partkey") % 3).cast("string"), F.lit(" "), F.col("p_name"))
+    docs = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.encode(text, "UTF-8").alias("content"), dispatch.hint(extension=".txt").alias("hint"))
+    return dispatch.with_fallback(docs, first, second).select("doc_id", "converter", "markdown")
+
+
 @query("SELECT n_nationkey, coalesce(nullif(CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END, ''), 'fallback ' || n_name) AS markdown FROM nation")
 def fallback_choice(spark, d):
     first = table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name")).alias("a"))
@@ -371,7 +386,8 @@ def expand_archives(spark, d):
     return archives.collected(archives.converted_entries(archives.entries(_zipped(spark, d))))
 
 
-@query()
+@query("""SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'ipynb' AS converter, 'ok' AS status,
+  regexp_replace(string_agg(CASE WHEN role = 'user' THEN text ELSE '```python' || chr(10) || text || chr(10) || '```' END, chr(10) || chr(10) ORDER BY turn), '[ \\t]+\\n', chr(10), 'g') AS markdown FROM conversations GROUP BY conv_id""")
 def convert_notebooks(spark, d):
     cells = F.sort_array(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"), F.array("text").alias("source"))))
     book = F.to_json(F.struct(cells.alias("cells"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor")))
@@ -504,3 +520,151 @@ def stream_files(spark, d):
     convert_stream(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", glob="*.txt").awaitTermination()
     done = spark.read.parquet(f"{path}/out")
     return done.select(F.url_decode(F.regexp_extract("doc_id", "r_name=([^/]*)/", 1)).alias("r_name"), "converter", "markdown")
+
+
+# -- a document for every part, by formats that plain expressions can write ----------------------------
+
+
+def _parts(spark: SparkSession, d: str, content, **hint) -> DataFrame:
+    """One document made of each part, converted."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), content.alias("content"), dispatch.hint(**hint).alias("hint"))
+    return dispatch.convert_documents(rows).select(F.col("doc_id").cast("long").alias("p_partkey"), "converter", "status", "title", "markdown")
+
+
+def _parts_sql(converter: str, markdown: str, title: str = "NULL") -> str:
+    return f"SELECT p_partkey, '{converter}' AS converter, 'ok' AS status, {title} AS title, {markdown} AS markdown FROM part"
+
+
+def _said(*parts: str) -> object:
+    """UTF-8 bytes of texts and, by name, columns in braces."""
+    return F.encode(F.concat(*[F.col(x[1:-1]).cast("string") if re.fullmatch(r"\{p_\w+\}", x) else F.lit(x) for x in parts]), "UTF-8")
+
+
+_PAGE = {"mimetype": "text/html", "charset": "utf-8"}
+_N, _NN = "chr(10)", "chr(10) || chr(10)"
+
+
+@query(_parts_sql("wikipedia", f"'# ' || p_name || {_NN} || p_type || ' [' || p_brand || '](/wiki/' || p_size || ')'", "p_name"))
+def convert_wikipedia(spark, d):
+    body = _said("<html><head><title>x</title></head><body><p>chrome</p><span class='mw-page-title-main'>", "{p_name}", "</span><div id='mw-content-text'><p>", "{p_type}", " <a href='/wiki/", "{p_size}", "'>", "{p_brand}", "</a></p></div></body></html>")
+    return _parts(spark, d, body, url="https://en.wikipedia.org/wiki/Part", **_PAGE)
+
+
+@query(_parts_sql("bing", f"'## A Bing search for ''part list'' found the following results:' || {_NN} || '## [' || p_name || '](http://example.org/' || p_partkey || ')' || {_N} || p_type"))
+def convert_bing(spark, d):
+    packed = F.translate(F.regexp_replace(F.base64(F.encode(F.concat(F.lit("http://example.org/"), F.col("p_partkey").cast("string")), "UTF-8")), r"[\r\n=]", ""), "+/", "-_")
+    body = F.concat(F.lit("<html><body><p>ads</p><div class='b_algo'><h2><a href='https://www.bing.com/ck/a?p=1&u=a1"), packed, F.lit("&ntb=1'>"), F.col("p_name"), F.lit("</a></h2><p>"), F.col("p_type"), F.lit("</p></div></body></html>"))
+    return _parts(spark, d, F.encode(body, "UTF-8"), url="https://www.bing.com/search?q=part+list", **_PAGE)
+
+
+@query(_parts_sql("youtube", f"'# YouTube' || {_NN} || '## ' || p_name || {_NN} || '### Video Metadata' || {_N} || '- **Views:** ' || p_partkey || {_N} || '- **Keywords:** ' || p_type || {_N} || '- **Runtime:** PT' || p_size || 'M' || {_NN} || '### Description' || {_N} || p_brand || {_N}", "p_name"))
+def convert_youtube(spark, d):
+    body = _said("<html><head><title>", "{p_name}", "</title><meta itemprop='interactionCount' content='", "{p_partkey}", "'><meta name='keywords' content='", "{p_type}", "'><meta itemprop='duration' content='PT", "{p_size}", "M'><meta name='description' content='", "{p_brand}", "'></head><body></body></html>")
+    return _parts(spark, d, body, url="https://www.youtube.com/watch?v=part", **_PAGE)
+
+
+@query(_parts_sql("rtf", f"p_name || {_N} || p_type || {_N} || 'é ' || p_size"))
+def convert_rtf(spark, d):
+    body = _said("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}\\f0 ", "{p_name}", "\\par {\\b ", "{p_type}", "}\\par \\'e9 ", "{p_size}", "\\par }")
+    return _parts(spark, d, body, extension=".rtf")
+
+
+def _number(value, digits: int, little: bool = False):
+    """A whole number as hexadecimal bytes."""
+    out = F.lpad(F.hex(value), digits, F.lit("0"))
+    return F.concat(*[F.substring(out, i, 2) for i in range(digits - 1, 0, -2)]) if little else out
+
+
+@query(_parts_sql("image", f"'ImageSize: ' || (1 + p_partkey % 4000) || 'x' || p_size || {_N} || 'Format: PNG' || {_N}"))
+def convert_images(spark, d):
+    """Headers of images; without a hook that describes them they are degraded."""
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _number(1 + F.col("p_partkey") % 4000, 8), _number(F.col("p_size").cast("long"), 8), F.lit("080200000000000000"))
+    return _parts(spark, d, F.unhex(head), extension=".png")
+
+
+@query(_parts_sql("audio", f"'Duration: 0:' || lpad(CAST(p_size AS VARCHAR), 2, '0') || {_N} || 'NumChannels: 1' || {_N} || 'SampleRate: 100' || {_N} || 'AvgBytesPerSec: 100' || {_N} || 'BitsPerSample: 8'"))
+def convert_audio(spark, d):
+    """Sound files of p_size seconds, of 100 bytes each."""
+    n = F.col("p_size").cast("long") * 100
+    head = F.concat(F.lit("52494646"), _number(n + 36, 8, True), F.lit("57415645666D7420100000000100010064000000640000000100080064617461"), _number(n, 8, True), F.repeat(F.lit("80"), n.cast("int")))
+    return _parts(spark, d, F.unhex(head), extension=".wav")
+
+
+def _brands(spark: SparkSession, d: str) -> DataFrame:
+    """An archive for each brand, with a text file for each of its parts, and one that no converter reads."""
+    ship(spark)
+    parts = table(spark, d, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("doc_id"), "p_partkey", "p_name")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, name = io.BytesIO(), pdf["doc_id"].iloc[0]
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, text in sorted(zip(pdf["p_partkey"], pdf["p_name"], strict=True)):
+                z.writestr(zipfile.ZipInfo(f"in/{i}.txt"), text)
+            z.writestr(zipfile.ZipInfo("skip.bin"), b"\0\1\2\3")
+        return pd.DataFrame([(name, out.getvalue(), dict.fromkeys(INFO_FIELDS) | {"filename": name, "extension": ".zip"})], columns=INPUT.names)
+
+    return parts.groupBy("doc_id").applyInPandas(pack, INPUT)
+
+
+_BRAND_SQL = f"""'Content from the zip file `' || replace(p_brand, '#', '') || '`:' || {_NN} || string_agg('## File: in/' || p_partkey || '.txt' || {_NN} || p_name, {_NN} ORDER BY p_partkey) AS markdown, true AS degraded FROM part GROUP BY p_brand"""
+
+
+@query(f"SELECT replace(p_brand, '#', '') AS doc_id, 'zip' AS converter, 'ok' AS status, {_BRAND_SQL}")
+def convert_part_archives(spark, d):
+    return dispatch.convert_documents(_brands(spark, d)).select("doc_id", "converter", "status", "markdown", "degraded")
+
+
+@query(f"SELECT replace(p_brand, '#', '') AS archive_id, {_BRAND_SQL}")
+def expand_part_archives(spark, d):
+    return archives.collected(archives.converted_entries(archives.entries(_brands(spark, d))))
+
+
+@query("SELECT p_partkey, 'data:text/csv,' || p_partkey AS uri, 'csv' AS converter, 'ok' AS status, '| ' || p_partkey || ' |' || chr(10) || '| --- |' AS markdown FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN 'ftp://h/' || p_partkey ELSE 'no scheme ' || p_partkey END, NULL, 'invalid_input', NULL FROM part WHERE p_partkey % 4 >= 2")
+def convert_addresses(spark, d):
+    """Addresses of schemes in either case, and some that nothing reads: a row for each."""
+    key = F.col("p_partkey").cast("string")
+    uri = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("data:text/csv,"), key)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("DATA:text/csv,"), key)).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("ftp://h/"), key)).otherwise(F.concat(F.lit("no scheme "), key))
+    done = dispatch.convert_documents(readers.addresses(spark, table(spark, d, "part").select(uri.alias("uri"))))
+    return done.select(F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("long").alias("p_partkey"), F.regexp_replace("doc_id", "^DATA:", "data:").alias("uri"), "converter", "status", "markdown")
+
+
+def _written(spark: SparkSession, d: str, make, extension: str) -> DataFrame:
+    """Files that a function of key, name, type and size writes, one for each part, converted."""
+    ship(spark)
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+
+    def run(frames):
+        for pdf in frames:
+            made = [make(*x) for x in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"doc_id": pdf["p_partkey"].astype(str), "content": made, "hint": [dict.fromkeys(INFO_FIELDS) | {"extension": extension}] * len(made)})
+
+    done = dispatch.convert_documents(rows.mapInPandas(run, INPUT))
+    return done.select(F.col("doc_id").cast("long").alias("p_partkey"), "converter", "status", "title", "markdown")
+
+
+@query(_parts_sql("xls", f"'## Parts' || {_N} || '| key | name | size |' || {_N} || '| --- | --- | --- |' || {_N} || '| k' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |'"))
+def convert_old_workbooks(spark, d):
+    return _written(spark, d, lambda key, name, kind, size: samples.old_workbook("Parts", [["key", "name", "size"], [f"k{key}", name, float(size)]]), ".xls")
+
+
+@query(_parts_sql("msg", f"'# Email Message' || {_NN} || '**From:** ' || p_partkey || '@x.example' || {_N} || '**To:** you@x.example' || {_N} || '**Subject:** ' || p_name || {_NN} || '## Content' || {_NN} || p_type", "p_name"))
+def convert_mail(spark, d):
+    return _written(spark, d, lambda key, name, kind, size: samples.mail(name, f"{key}@x.example", "you@x.example", kind), ".msg")
+
+
+@query(_parts_sql("mobi", f"p_name || {_NN} || '**' || p_type || '**'", "p_name"))
+def convert_mobi(spark, d):
+    return _written(spark, d, lambda key, name, kind, size: samples.mobi(name, f"<html><body><p>{name}</p><p><b>{kind}</b></p></body></html>"), ".mobi")
+
+
+@query(_parts_sql("pdf", f"'# ' || p_name || {_NN} || 'The type is ' || p_type || ', the size is ' || p_size || '.'"))
+def convert_prose(spark, d):
+    return _written(spark, d, lambda key, name, kind, size: samples.prose(name, [f"The type is {kind},", f"the size is {size}."]), ".pdf")
+
+
+_FRACTION = "'The key is $\\frac{' || p_partkey || '}{' || p_size || '}$'"
+
+
+@query(_parts_sql("docx", _FRACTION, _FRACTION))
+def convert_equations(spark, d):
+    return _written(spark, d, lambda key, name, kind, size: samples.equation(str(key), str(size), "The key is"), ".docx")

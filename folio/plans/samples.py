@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 from xml.sax.saxutils import escape
@@ -89,3 +90,94 @@ def web_archive(title: str, body: str) -> bytes:
     page = quopri.encodestring(f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><p>{escape(body)}</p></body></html>".encode())
     head = b"From: folio\r\nMIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=part\r\n\r\n--part\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n"
     return head + page + b"\r\n--part--\r\n"
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file with the streams in its root, all as large streams."""
+    sector = 512
+    chunks: list[bytes] = []
+    entries = []
+    fat: list[int] = []
+    for name, data in streams.items():
+        data = data.ljust(4096, b"\0") if len(data) < 4096 else data
+        n = -(-len(data) // sector)
+        start = len(chunks)
+        chunks += [data[i * sector : (i + 1) * sector].ljust(sector, b"\0") for i in range(n)]
+        fat += [*range(start + 1, start + n), 0xFFFFFFFE]
+        entries.append((name, start, len(data)))
+
+    def entry(name: str, kind: int, left: int, right: int, child: int, start: int, size: int) -> bytes:
+        raw = (name + "\0").encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, left, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    none = 0xFFFFFFFF
+    table = entry("Root Entry", 5, none, none, 1 if entries else none, 0xFFFFFFFE, 0)
+    for i, (name, start, size) in enumerate(entries, 1):
+        table += entry(name, 2, none, i + 1 if i < len(entries) else none, none, start, size)
+    directory = len(chunks)
+    n = -(-len(table) // sector)
+    chunks += [table[i * sector : (i + 1) * sector].ljust(sector, b"\0") for i in range(n)]
+    fat += [*range(directory + 1, directory + n), 0xFFFFFFFE]
+    n_fat = -(-(len(fat) + 8) // 128)
+    first_fat = len(chunks)
+    fat += [0xFFFFFFFD] * n_fat
+    fat += [none] * (n_fat * 128 - len(fat))
+    chunks += [struct.pack("<128I", *fat[i * 128 : (i + 1) * 128]) for i in range(n_fat)]
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, n_fat, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    difat = [first_fat + i for i in range(n_fat)] + [none] * (109 - n_fat)
+    return head + struct.pack("<109I", *difat) + b"".join(chunks)
+
+
+def old_workbook(sheet: str, rows: list[list[str | float]]) -> bytes:
+    """A workbook of the binary format, with its strings in the shared table."""
+    record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    begin = lambda what: record(0x809, struct.pack("<HHHHII", 0x600, what, 0, 0, 0, 0))
+    texts = [v for r in rows for v in r if isinstance(v, str)]
+    strings = record(0xFC, struct.pack("<II", len(texts), len(texts)) + b"".join(struct.pack("<HB", len(t), 0) + t.encode("latin-1") for t in texts))
+    cells, k = b"", 0
+    for i, r in enumerate(rows):
+        for j, v in enumerate(r):
+            if isinstance(v, str):
+                cells, k = cells + record(0xFD, struct.pack("<HHHI", i, j, 0, k)), k + 1
+            else:
+                cells += record(0x203, struct.pack("<HHHd", i, j, 0, v))
+    name = struct.pack("<BB", len(sheet), 0) + sheet.encode("latin-1")
+    head = lambda at: begin(5) + record(0x85, struct.pack("<IBB", at, 0, 0) + name) + strings + record(0x0A, b"")
+    return compound({"Workbook": head(len(head(0))) + begin(0x10) + cells + record(0x0A, b"")})
+
+
+def mail(subject: str, sender: str, to: str, body: str) -> bytes:
+    """A message file; texts are padded with blanks to the length of a large stream."""
+    padded = lambda t: (t + " " * (2100 - len(t))).encode("utf-16-le")
+    parts = {"0037": subject, "0C1F": sender, "0E04": to, "1000": body}
+    return compound({"__properties_version1.0": b"\0" * 32} | {f"__substg1.0_{k}001F": padded(v) for k, v in parts.items()})
+
+
+def mobi(title: str, html: str) -> bytes:
+    """A book of one uncompressed record."""
+    body, name = html.encode(), title.encode()
+    head = bytearray(300)
+    struct.pack_into(">HHIHHHH", head, 0, 1, 0, len(body), 1, 4096, 0, 0)
+    struct.pack_into(">4sI", head, 16, b"MOBI", 232)
+    struct.pack_into(">I", head, 28, 65001)
+    struct.pack_into(">II", head, 84, 260, len(name))
+    head[260 : 260 + len(name)] = name
+    start = 78 + 2 * 8 + 2
+    return b"book".ljust(60, b"\0") + b"BOOKMOBI" + b"\0" * 8 + struct.pack(">HIIII", 2, start, 0, start + len(head), 0) + b"\0\0" + bytes(head) + body
+
+
+def prose(title: str, lines: list[str]) -> bytes:
+    """A PDF page with a large title and lines of text below."""
+    put = lambda t, size, y: b"BT /F1 %d Tf 72 %d Td (%s) Tj ET\n" % (size, y, t.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)"))
+    body = zlib.compress(put(title, 20, 740) + b"".join(put(t, 10, 700 - 12 * i) for i, t in enumerate(lines)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 1 /Kids [4 0 R] >>", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 5 0 R /Resources << /Font << /F1 3 0 R >> >> >>", b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(body), body)]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def equation(numerator: str, denominator: str, before: str) -> bytes:
+    """A letter of one paragraph: a text, and a fraction."""
+    run = lambda t: f"<m:r><m:t>{escape(t)}</m:t></m:r>"
+    math = f"<m:oMath><m:f><m:num>{run(numerator)}</m:num><m:den>{run(denominator)}</m:den></m:f></m:oMath>"
+    spaces = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+    return packed({"word/document.xml": f"<w:document {spaces}><w:body><w:p><w:r><w:t xml:space='preserve'>{escape(before)} </w:t></w:r>{math}</w:p></w:body></w:document>"})
+
