@@ -591,6 +591,51 @@ def test_lines_of_one_template(spark):
     assert {r["id"]: r["removed"] for r in line_dedup.removals(frame(spark, rows)).collect()} == brute_lines(rows)
 
 
+def template_lines(rng: random.Random, n: int, words: int = 30, own: int = 3):
+    """``n`` groups of two lines: all words from one template but ``own`` of a group's, and one more in its second line."""
+    template, rows = prose(rng, words).split(), []
+    for k in range(n):
+        line = list(template)
+        at = rng.sample(range(words), own + 1)
+        for i in at[:own]:
+            line[i] = rng.choice(WORDS)
+        second = list(line)
+        second[at[own]] = rng.choice(WORDS)
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(second))]
+    return rows
+
+
+def gram_similarity(a: str, b: str) -> float:
+    x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def template_recall(spark, rows):
+    """Of the groups whose two lines are similar the share in which one goes, and how many other lines do."""
+    from folio.llm import line_dedup
+
+    gone = {r["id"] for r in line_dedup.removals(frame(spark, rows, False)).collect()}
+    alike = [k for k in range(0, len(rows), 2) if gram_similarity(rows[k][1], rows[k + 1][1]) >= 0.8]
+    wrong = len(gone - {k + 1 for k in alike})
+    return sum(k + 1 in gone for k in alike) / len(alike), wrong, len(alike)
+
+
+def test_lines_of_many_families_in_one_template(spark):
+    """Boilerplate that differs in a few words: bands mix all families, and each pair has to be found in them."""
+    rng = random.Random(21)
+    recall, wrong, n = template_recall(spark, template_lines(rng, 1500, own=7))
+    assert n > 1300 and recall >= 0.95 and wrong <= 0.01 * n
+
+
+def test_lines_of_signs_and_blanks(spark):
+    """Lines that repeat a sign are alike at any length; carriage returns and tabs at the ends don't count."""
+    from folio.llm import line_dedup
+
+    rows = [(1, "=" * 40), (2, "=" * 400), (3, "=" * 4000), (4, "-=" * 30), (5, "=-" * 300), (6, "some line of text here"), (7, "some line of text here\r"), (8, "\tsome line of text here \t"), (9, "é" * 200), (10, "é" * 90)]
+    got = {r["id"]: r["removed"] for r in line_dedup.removals(frame(spark, rows)).collect()}
+    assert got == {2: [0], 3: [0], 5: [0], 7: [0], 8: [0], 10: [0]}
+
+
 def test_lines_short_and_blankless(spark):
     from folio.llm import line_dedup
 
