@@ -37,6 +37,9 @@ def merge_partial_numbers(text: str) -> str:
 
 # -- forms: tables by the places of words --------------------------------------------------------
 
+# Fixed values, here and below: distances in points or in multiples of the font size, and the shares and counts from
+# which something is a form, a column, a heading, a running head or a table.
+
 
 @dataclass(slots=True)
 class Word:

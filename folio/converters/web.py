@@ -11,7 +11,7 @@ import re
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from folio.plans.detect import decode
-from folio.plans.model import ConversionError, Info, Options, Result
+from folio.plans.model import ConversionError, Info, Options, Result, asked
 from folio.render.html_md import FURNITURE, main_content, parse, title_of, to_markdown
 
 WIKIPEDIA = re.compile(r"^https?://[a-zA-Z]{2,3}\.wikipedia.org/")
@@ -114,6 +114,19 @@ def caption_track(tracks: list[dict]) -> dict | None:
     return None
 
 
+def _tracks(root) -> list[dict]:
+    """The caption tracks that a video page's scripts list."""
+    for script in root.find_all("script"):
+        code = "".join(c for c in script.children if isinstance(c, str))
+        if m := re.search(r'"captionTracks"\s*:\s*', code):
+            try:
+                found = json.JSONDecoder().raw_decode(code, m.end())[0]
+            except ValueError:
+                continue
+            return [t for t in found if isinstance(t, dict)] if isinstance(found, list) else []
+    return []
+
+
 def youtube(data: bytes, info: Info, options: Options) -> Result:
     """Title, figures, description and, through a hook, the transcript of a video page."""
     root = parse(decode(data, info.charset or "utf-8"))
@@ -142,15 +155,18 @@ def youtube(data: bytes, info: Info, options: Options) -> Result:
     if about := get("description", "og:description"):
         out.append(f"\n### Description\n{about}\n")
     video = parse_qs(urlsplit(unquote(info.url or "").replace(r"\?", "?").replace(r"\=", "=")).query).get("v", [""])[0]
-    transcript = getattr(options.hooks, "transcript", None)
+    transcript, said = getattr(options.hooks, "transcript", None), None
     if transcript and video:
         for _ in range(3):
             try:
-                if text := transcript(video):
-                    out.append(f"\n### Transcript\n{text}\n")
+                said = transcript(video)
                 break
             except Exception:  # a provider may fail in any way
                 continue
+    if not said and (track := caption_track(_tracks(root))) and track.get("baseUrl"):
+        said = asked(options.hooks, "captions", str(track["baseUrl"]))
+    if said:
+        out.append(f"\n### Transcript\n{said}\n")
     return Result("".join(out), get("title", "og:title", "name"))
 
 

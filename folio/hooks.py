@@ -31,6 +31,8 @@ class Hooks:
     transcribe: Callable[[bytes, str], str | None] | None = None
     #: id of a video to its transcript
     transcript: Callable[[str], str | None] | None = None
+    #: address of a video's caption track to its text
+    captions: Callable[[str], str | None] | None = None
     #: bytes, media type and analyzer of an analysis service to Markdown
     analyze: Callable[[bytes, str, str], str | None] | None = None
 

@@ -56,7 +56,8 @@ def _xml_like(info: Info) -> bool:
 
 _WORD, _SHEET, _SLIDES = (detect.MIME_OF[e] for e in (".docx", ".xlsx", ".pptx"))
 
-#: In the order in which they are tried: the special ones, and then the general ones.
+#: In the order in which they are tried: the special ones, and then the general ones. Names, extensions
+#: and media types, and the order.
 SPECIAL = [
     Converter("csv", text.separated, (".csv",), ("text/csv", "application/csv"), notes="the first row is the header"),
     Converter("epub", books.epub, (".epub",), ("application/epub", "application/epub+zip", "application/x-epub+zip"), notes="details, then chapters in reading order"),

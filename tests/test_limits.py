@@ -181,3 +181,18 @@ def test_link_targets():
     assert html_to_markdown('<a href="javascript:x()">x</a> <a href="HTTP://h/">y</a> <a>z</a>') == "x [y](http://h/) z"
     assert html_to_markdown('<a href="http://h/a_b">http://h/a_b</a>') == "<http://h/a_b>"
     assert html_to_markdown('<h1>a <img alt="b\nc" src="x"></h1><img data-src="y" alt="d" title="e">') == '# a b c\n\n![d](y "e")'
+
+
+def test_captions_of_a_video_page():
+    """The track made by hand in English is the one that the hook gets."""
+
+    class Hooks:
+        def captions(self, address):
+            return f"said at {address}"
+
+    tracks = '[{"languageCode": "de", "baseUrl": "u1"}, {"languageCode": "en", "kind": "asr", "baseUrl": "u2"}, {"languageCode": "en-GB", "baseUrl": "u3"}]'
+    page = f'<html><head><title>T</title></head><body><script>var x = {{"captionTracks": {tracks}, "y": 1}};</script></body></html>'.encode()
+    f = Folio()
+    info = Info(mimetype="text/html", charset="utf-8", url="https://www.youtube.com/watch?v=a")
+    assert "### Transcript" not in f.registry.convert(page, info, f.options).result.markdown
+    assert f.registry.convert(page, info, Options(hooks=Hooks())).result.markdown.endswith("### Transcript\nsaid at u3\n")
