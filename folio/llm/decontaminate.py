@@ -273,6 +273,7 @@ def _cut(text: str, spans) -> str:
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
+    """A digest of the hits of every document; see :func:`find_hits` for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = find_hits(docs, table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))

@@ -503,6 +503,7 @@ def _whole(rows: DataFrame, n: int) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, copy_id, class_id and n_links of every document."""
     return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -164,6 +164,7 @@ def fold(row_id: str, folds: int) -> Column:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, learned from the others and their lang alone."""
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 5) == 0
     model = fit(docs.where(~held).select("text", "lang"))

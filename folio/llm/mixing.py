@@ -210,6 +210,7 @@ WEIGHTS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the posterior of each domain and the rate of every document; see :func:`mix` for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, quality_domains(table(spark, sf_dir, "labels")))
     return mix(docs, model, WEIGHTS, columns=["doc_id"])

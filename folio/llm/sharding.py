@@ -126,6 +126,7 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, overhead:
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null) of every document; see :func:`shard` for odd rows."""
     from folio.runtime import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -132,6 +132,7 @@ def edited(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataF
 
 
 def op8_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, their likeness, and the anchors that both have once; see :func:`edited` for odd rows."""
     got = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
     own, other = anchors(F.col("text")), anchors(F.col("edited"))
     got = got.select("k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "least", "next_least", own.alias("own"), other.alias("other"))

@@ -310,6 +310,7 @@ def truncate(tables: DataFrame, budget: int, text: str = "text") -> DataFrame:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document; null texts have no bytes and no tokens."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

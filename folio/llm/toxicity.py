@@ -357,5 +357,6 @@ def learned(spark, sf_dir: str) -> Grammar:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; see :func:`score` for odd rows."""
     got = score(table(spark, sf_dir, "documents").select("doc_id", "text"), learned(spark, sf_dir))
     return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
