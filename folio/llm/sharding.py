@@ -21,6 +21,8 @@ STEP = 12
 BITS = 60
 #: Pieces into which a shard's slots are dealt, by the first bits of both parts.
 DEAL = (12, 6)
+#: Rows of a piece beyond which it is dealt further by the id's hash, as where one text is on very many rows.
+PIECE = 1_000_000
 
 
 def _part(column: Column, seed: int) -> Column:
@@ -114,14 +116,23 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, overhead:
     key = stash(keyed.select("_h1", "_h2", "_size"), "shardkey")
     cuts = splitters(key, shards, tolerance)
     place = {"shard": _shard(cuts), "_a": F.shiftrightunsigned("_h1", BITS - DEAL[0]), "_b": F.shiftrightunsigned("_h2", BITS - DEAL[1])}
-    # slots: rows of the pieces before (a bounded table: at most shards plus 4096 times 64 pieces), then the place within
-    pieces = key.withColumns(place).groupBy("shard", "_a", "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    # slots: rows of the pieces before, then the place within; the table of pieces has at most a row for each of 4096
+    # times 64 and of the shards, and one or two for every PIECE rows
+    by = ["shard", "_a", "_b", "_c"]
+    counts = key.withColumns(place).groupBy(*by[:3]).agg(F.count(F.lit(1)).alias("n"))
+    large = stash(counts.where(F.col("n") > PIECE).select(*by[:3], F.ceil(F.log2(F.col("n") / PIECE)).cast("int").alias("_bits")), "shardlarge")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns(place).join(F.broadcast(large), by[:3], "left")
+        return rows.withColumn("_c", F.expr(f"coalesce(shiftrightunsigned(_h2, {BITS - DEAL[1]} - _bits) & (shiftleft(1L, _bits) - 1), 0L)")).drop("_bits")
+
+    pieces = dealt(key).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
     pieces = stash(pieces.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "shardslots")
     drop_stash(key)
-    inner = Window.partitionBy("shard", "_a", "_b").orderBy("_h1", "_h2")
-    placed = keyed.withColumns(place).withColumn("_in", F.row_number().over(inner) - 1)
-    out = placed.join(pieces, ["shard", "_a", "_b"])
+    inner = Window.partitionBy(*by).orderBy("_h1", "_h2")
+    placed = dealt(keyed).withColumn("_in", F.row_number().over(inner) - 1)
+    out = placed.join(pieces, by)
     return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("_size").alias("size"), F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_in")).cast("long").alias("slot"))
 
 

@@ -191,9 +191,12 @@ def test_an_insertion_moves_no_anchor_behind_it(spark):
 # -- 10: shards -----------------------------------------------------------------------------------------
 
 
-def test_shards_are_cuts_of_one_order(spark):
+@pytest.mark.parametrize("piece", [5, 1_000_000])
+def test_shards_are_cuts_of_one_order(spark, monkeypatch, piece):
     from folio.llm import sharding
 
+    monkeypatch.setattr(sharding, "PIECE", piece)
+
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randrange(80))) for i in range(600)] + [(1000 + i, "one hot text " * 9) for i in range(300)] + [(None, None), (7777, "")]
     got = sharding.shard(frame(spark, rows), 12).collect()
