@@ -420,10 +420,10 @@ def large_groups(members: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     sure = F.col("far") + F.col("b_far") <= 1 - threshold - SLACK
     apart = F.greatest(F.col("near") - F.col("b_far"), F.col("b_near") - F.col("far")) > 1 - threshold + SLACK
     # certain links of a slab, and the first set of its group's nearest slab, which is similar to all of it if anything is
-    known = pairs.where(sure).groupBy("component", "slab").agg(F.sum("b_copies").alias("more"), F.min_by("b_first", "b_slab").alias("hub"))
+    known = pairs.where(sure).groupBy("component", "slab").agg(F.sum("b_copies").alias("more"), F.min_by("b_first", "b_slab").alias("hub"), F.max(F.col("slab") == F.col("b_slab")).alias("own"))
     place = levels.select("component", "level", "slab")
     whose = far.withColumn("level", level).join(place, ["component", "level"]).drop("level")
-    certain = whose.join(known, ["component", "slab"]).select("key", (F.col("more") - F.col("copies")).alias("n"), F.when(F.col("hub") != F.col("key"), F.col("hub")).alias("other"))
+    certain = whose.join(known, ["component", "slab"]).select("key", (F.col("more") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("n"), F.when(F.col("hub") != F.col("key"), F.col("hub")).alias("other"))
     # uncertain pairs of slabs: each set goes to the blocks that it has to meet
     todo = pairs.where(~sure & ~apart).select("component", "slab", "blocks", "b_slab", "b_blocks")
     block = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
