@@ -7,10 +7,9 @@ Lines near the length at which the sample changes are signed both ways, so a pai
 
 The hash of a gram, exclusive-or a constant, is one of BANDS hash functions; the remainder of the hash parts the grams
 into ROWS classes, and a band is the minima of one function in all classes. Lines of one band are candidates,
-in two rounds: each line is paired with the line that is first in most of its bands; then all lines of a band
-that the links so far leave in different components are compared with one another. A band with very
-many such pairs is first split by the lines' other bands, twice at most; what is left is compared in blocks. A
-sketch of the minima screens the pairs, the exact Jaccard similarity decides, connected components follow, and of
+in two rounds: each line is paired with a few lines that are first in its bands, which joins most of a large
+group at the cost of its size; then all lines of a band that the links so far leave in different components are
+compared with one another, in blocks, whatever the band's size. A sketch of the minima screens the pairs, the exact Jaccard similarity decides, connected components follow, and of
 each component one line stays: the first in the document of the least id.
 """
 
@@ -47,8 +46,10 @@ BROADCAST_ROWS = 1_000_000
 HOT = 64
 #: Lines of a band outside its main component that are compared with the whole band in one key of a join.
 BLOCK = 256
-#: Comparisons in a band beyond which it is split by the lines' other bands, and how often at most.
-MANY, SPLITS = BLOCK * BLOCK, 2
+#: Lines, each first in a band of it, that a line is held against before its bands are compared in whole.
+FIRSTS = 4
+#: Words of 64 bits into which the grams of a line are hashed, to rule out pairs before the exact comparison.
+WORDS = 32
 #: What is trimmed from a line's ends.
 BLANKS = " \t\r\f\x0b"
 
@@ -77,9 +78,13 @@ def grams(line: Column) -> Column:
     return F.array_distinct(F.transform(_grams(line), lambda g: F.hash(g)))
 
 
-def _similarity(x: Column, y: Column) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return both / (F.size(x) + F.size(y) - both)
+def _alike(x: Column, y: Column, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two sets reaches the threshold; the sets are intersected once, and only where their sizes allow it."""
+    t, n = F.lit(threshold), F.size(x) + F.size(y)
+    reached = lambda k: k / (n - k) >= t  # noqa: E731  with k members in common
+    k = F.ceil(n * t / (t + 1)).cast("int")
+    need = F.when(reached(k - 1), k - 1).when(reached(k), k).otherwise(k + 1)  # whichever way the quotient was rounded
+    return (F.least(F.size(x), F.size(y)) >= t * F.greatest(F.size(x), F.size(y))) & (F.size(F.array_intersect(x, y)) >= need)
 
 
 def _lines(docs: DataFrame, text: str, row_id: str) -> DataFrame:
@@ -151,11 +156,14 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 def _agreeing(a: str, b: str) -> Column:
     """Minima in which two sketches agree."""
-    out = F.lit(0)
+    out = F.lit(PACKED * len(SKETCH))
+    firsts = sum(1 << BITS * i for i in range(PACKED))
     for s in SKETCH:
         x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        for i in range(PACKED):
-            out = out + F.when(x.bitwiseAND(F.lit(((1 << BITS) - 1) << BITS * i)) == 0, 1).otherwise(0)
+        differ = x
+        for i in range(1, BITS):
+            differ = differ.bitwiseOR(F.shiftrightunsigned(x, i))
+        out = out - F.bit_count(differ.bitwiseAND(F.lit(firsts)))
     return out
 
 
@@ -166,7 +174,7 @@ def _enough(sample: Column) -> Column:
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """band, lid, sample and first (the band's first line) of all rows of bands that several lines have.
+    """band, lid, sample and first (the band's first line in an order of its own) of all rows of bands that several lines have.
 
     Windows by band; the bands that a sample of the lines shows to be hot are aggregated and joined, with the same result.
     """
@@ -175,19 +183,23 @@ def shared_bands(signed: DataFrame) -> DataFrame:
     hot = stash(sampled.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= HOT).select("band"), "hotbands")
     cold = rows if (few := hot.isEmpty()) else rows.join(hot, "band", "left_anti")
     whole = Window.partitionBy("band")
-    out = cold.withColumns({"first": F.min("lid").over(whole), "last": F.max("lid").over(whole)}).where("first <> last").drop("last")
+    # lines stand in another order in each band, so that a line meets different ones in its bands
+    place = F.col("lid").bitwiseXOR(F.col("band"))
+    out = cold.withColumns({"first": F.min(place).over(whole), "last": F.max(place).over(whole)}).where("first <> last").drop("last")
     if not few:
         rest = rows.join(hot, "band", "left_semi")
-        firsts = stash(rest.groupBy("band").agg(F.min("lid").alias("first")), "hotfirsts")
+        firsts = stash(rest.groupBy("band").agg(F.min(place).alias("first")), "hotfirsts")
         out = out.unionByName(rest.join(firsts, "band").select(out.columns))
-    return out.select("band", "lid", "sample", "first")
+    return out.select("band", "lid", "sample", F.col("first").bitwiseXOR(F.col("band")).alias("first"))
 
 
 def _first_pairs(shared: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs u < v of a line with the line that is first in most of its bands, of which the sketches agree."""
+    """Pairs u < v of a line with up to FIRSTS lines that are first in most of its bands, of which the sketches agree."""
     votes = shared.where("lid <> first").groupBy("lid", "sample", "first").agg(F.count(F.lit(1)).alias("k"))
-    pairs = votes.groupBy("lid", "sample").agg(F.max_by("first", F.struct("k", "first")).alias("first"))
-    pairs = pairs.select("sample", F.least("lid", "first").alias("u"), F.greatest("lid", "first").alias("v"))
+    # a line has no more of them than bands
+    most = F.slice(F.sort_array(F.collect_list(F.struct("k", "first")), False), 1, FIRSTS)
+    pairs = votes.groupBy("lid", "sample").agg(most.alias("most")).select("lid", "sample", F.explode("most.first").alias("first"))
+    pairs = pairs.select("sample", F.least("lid", "first").alias("u"), F.greatest("lid", "first").alias("v")).distinct()
     sketch = signed.select("lid", "sample", *SKETCH)
     at = lambda x, y: (F.col(f"p.{x}") == F.col(f"{y}.lid")) & (F.col("p.sample") == F.col(f"{y}.sample"))
     held = pairs.alias("p").join(sketch.alias("x"), at("u", "x")).join(sketch.alias("y"), at("v", "y"))
@@ -201,63 +213,85 @@ def _periodic_pairs(signed: DataFrame) -> DataFrame:
     return rows.join(firsts, "again").where("lid <> first").select(F.least("lid", "first").alias("u"), F.greatest("lid", "first").alias("v"))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Pairs u, v of rows of one band that are in different components and whose sketches agree.
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of bands in blocks, as x all of them and as y those outside their band's main component, at most about BLOCK a block."""
+    y = rows.where("component <> main").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x"), y.alias("y")
 
-    The rows outside a band's main component are held to the whole band, in blocks of BLOCK.
-    """
-    y = rows.where("component <> main").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int")).alias("y")
-    x = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+
+def _meet() -> Column:
+    """Whether x and y are to be compared: in different components, of agreeing sketches, once for each band that they share."""
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component"))
-    meet = meet & ((F.col("x.component") == F.col("x.main")) | (F.col("x.lid") < F.col("y.lid"))) & (_agreeing("x", "y") >= _enough(F.col("x.sample")))
-    return x.join(y, meet).select(F.least("x.lid", "y.lid").alias("u"), F.greatest("x.lid", "y.lid").alias("v"))
+    return meet & ((F.col("x.component") == F.col("x.main")) | (F.col("x.lid") < F.col("y.lid"))) & (_agreeing("x", "y") >= _enough(F.col("x.sample")))
 
 
-def apart(shared: DataFrame, signed: DataFrame, group: DataFrame) -> DataFrame:
-    """Distinct pairs u, v of promising lines that share a band but no component (of ``group``: lid, component).
+def apart(shared: DataFrame, signed: DataFrame, group: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs u, v of similar lines that share a band but no component (of ``group``: lid, component).
 
-    A band of more than MANY comparisons is split: its rows go on under the band and each other band of
-    theirs, of which a similar pair shares some with a probability of 0.99 or more.
+    All pairs of which the sketches agree are compared, however many lines a band has: by bits, which rule out
+    most that are not similar and none that is, then exactly. First come the rows that agree with any other, as only
+    their texts are needed.
     """
-    rows = shared.select("band", "lid", "sample").join(group, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
-    out: list[DataFrame] = []
-    for split in range(SPLITS + 1):
-        rows = stash(rows, f"bandrows{split}")
-        sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
-        mains = sizes.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("others"), F.sum("k").alias("k")).where("others > 0")
-        mains = mains.select("band", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"), (F.col("others") * F.col("k") > MANY).alias("many"))
-        mains = stash(mains, f"mains{split}")
-        few = rows.join(mains.where("not many") if split < SPLITS else mains, "band")
-        open_ = stash(few.join(signed.select("lid", "sample", *SKETCH), ["lid", "sample"]), f"openbands{split}")
-        out.append(stash(_met(open_).distinct(), f"mates{split}"))
-        drop_stash(open_)
-        many = mains.where("many").select("band")
-        if split == SPLITS or many.isEmpty():
-            break
-        own = rows.join(many, "band").join(signed.select("lid", "sample", "bands"), ["lid", "sample"])
-        own = own.select("lid", "sample", "component", "band", F.explode("bands").alias("more")).where("more <> band")
-        rows = own.select(F.xxhash64("band", "more").alias("band"), "lid", "sample", "component")
-    pairs = out[0]
-    for x in out[1:]:
-        pairs = pairs.unionByName(x)
-    return stash(pairs.distinct(), "mates")
+    rows = stash(shared.select("band", "lid", "sample").join(group, "lid", "left").withColumn("component", F.coalesce("component", "lid")), "bandrows")
+    sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    mains = sizes.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    mains = stash(mains.select("band", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")), "mains")
+    open_ = stash(rows.join(mains, "band").join(signed.select("lid", "sample", *SKETCH), ["lid", "sample"]), "openbands")
+    drop_stash(rows)
+    x, y = _sides(open_)
+    key = ["band", "lid", "sample"]
+    some = x.join(y, _meet(), "left_semi").select(*key).unionByName(y.join(x, _meet(), "left_semi").select(*key))
+    some = stash(some.distinct(), "promising")
+    ids = stash(some.select("lid").distinct(), "compared")
+    sets = stash(_sets(lines.select("lid", "line").join(_near(ids, ids.count()), "lid")), "grams")
+    bits = stash(_bits(sets), "bits")
+    earlier = F.slice("bands", 1, F.greatest(F.array_position("bands", F.col("band")).cast("int") - 1, F.lit(0)))
+    x, y = _sides(open_.join(some, key).join(bits, "lid").join(signed.select("lid", "sample", "bands"), ["lid", "sample"]).withColumn("earlier", earlier).drop("bands"))
+    # in the first band that they share
+    pairs = x.join(y, _meet() & ~F.arrays_overlap("x.earlier", "y.earlier") & _possible(threshold)).select(F.least("x.lid", "y.lid").alias("u"), F.greatest("x.lid", "y.lid").alias("v"))
+    pairs = stash(pairs.distinct(), "mates")
+    drop_stash(open_)
+    drop_stash(bits)
+    return _linked(pairs, sets, threshold)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs u, v of which the exact similarity reaches the threshold; ``texts``: lid and line, which may repeat."""
-    sets = stash(texts.groupBy("lid").agg(F.any_value("line").alias("line")).select("lid", grams(F.col("line")).alias("grams")), "grams")
+def _sets(texts: DataFrame) -> DataFrame:
+    """lid and grams of each line of ``texts``: lid and line, which may repeat."""
+    return texts.groupBy("lid").agg(F.any_value("line").alias("line")).select("lid", grams(F.col("line")).alias("grams"))
+
+
+def _bits(sets: DataFrame) -> DataFrame:
+    """lid, n (grams) and bits: 64 * WORDS of them, of which each gram sets one."""
+    h = sets.select("lid", F.explode("grams").alias("h"))
+    bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 26))")
+    words = [F.coalesce(F.bit_or(F.when(F.pmod("h", F.lit(WORDS)) == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(WORDS)]
+    return h.groupBy("lid").agg(F.count(F.lit(1)).cast("int").alias("n"), *words).select("lid", "n", F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
+
+
+def _possible(threshold: float) -> Column:
+    """Whether the bits of x and y allow that similarity: each bit that one has alone is a gram, or more, that it has alone."""
+    alone = lambda a, b: F.aggregate(F.zip_with(F.col(f"{a}.bits"), F.col(f"{b}.bits"), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda k, n: k + n)
+    both = F.least(F.col("x.n") - alone("x", "y"), F.col("y.n") - alone("y", "x"))
+    return both * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs u, v of which the exact similarity reaches the threshold; drops ``sets`` (lid, grams)."""
     held = pairs.join(sets.select(F.col("lid").alias("u"), F.col("grams").alias("x")), "u").join(sets.select(F.col("lid").alias("v"), F.col("grams").alias("y")), "v")
-    x, y = F.col("x"), F.col("y")
-    alike = (F.least(F.size(x), F.size(y)) >= F.lit(threshold) * F.greatest(F.size(x), F.size(y))) & (_similarity(x, y) >= threshold)
-    links = stash(held.where(alike).select("u", "v"), "links")
+    links = stash(held.where(_alike(F.col("x"), F.col("y"), threshold)).select("u", "v"), "links")
     drop_stash(sets)
     return links
 
 
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs u, v of which the exact similarity reaches the threshold; ``texts``: lid and line, which may repeat."""
+    return _linked(pairs, stash(_sets(texts), "grams"), threshold)
+
+
 def removals(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """id, th (hash of the text) and ``removed`` (line numbers from 0, ascending) of each text that loses lines.
 
@@ -276,11 +310,9 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text",
         placed = lines.join(_near(ids, ids.count()), "lid", "left").select("id", "th", "pos", "lid", F.when(F.col("candidate"), F.col("line")).alias("line"))
         placed = keep(stash(placed, "placed"))
         group = components(verified(first, placed.where("line is not null").select("lid", "line"), threshold)).withColumnRenamed("node", "lid")
-        mates = apart(shared, signed, group)
-        drop_stash(shared)
         # a third one for the texts of the others
-        ids = stash(_ends(mates), "compared")
-        more = verified(mates, lines.select("lid", "line").join(_near(ids, ids.count()), "lid"), threshold)
+        more = apart(shared, signed, group, lines, threshold)
+        drop_stash(shared)
         if not more.isEmpty():
             group = components(group.select(F.col("lid").alias("u"), F.col("component").alias("v")).unionByName(more)).withColumnRenamed("node", "lid")
         dup = signed.where("own").select("lid", "id", "n").join(group, "lid", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "lid"))

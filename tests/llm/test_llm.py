@@ -627,6 +627,24 @@ def test_lines_of_many_families_in_one_template(spark):
     assert n > 1300 and recall >= 0.95 and wrong <= 0.01 * n
 
 
+def test_lines_that_share_a_single_crowded_band(spark, monkeypatch):
+    """All lines of one band are compared, however many, though similar ones have no other band in common."""
+    from pyspark.sql import functions as F
+
+    from folio.llm import line_dedup
+
+    signatures = line_dedup.signatures
+    apiece = F.transform(F.sequence(F.lit(0), F.lit(line_dedup.BANDS - 1)), lambda i: F.when(i == 3, F.xxhash64("sample")).otherwise(F.xxhash64("lid", "sample", i)))
+    monkeypatch.setattr(line_dedup, "signatures", lambda lines: signatures(lines).withColumn("bands", apiece))
+    rng = random.Random(31)
+    rows = []
+    for k in range(200):
+        line = prose(rng, 14)
+        rows += [(2 * k, line), (2 * k + 1, f"{line} {rng.choice(WORDS)}")]
+    want = brute_lines(rows)
+    assert len(want) > 190 and {r["id"]: r["removed"] for r in line_dedup.removals(frame(spark, rows, False)).collect()} == want
+
+
 def test_lines_of_signs_and_blanks(spark):
     """Lines that repeat a sign are alike at any length; carriage returns and tabs at the ends don't count."""
     from folio.llm import line_dedup
