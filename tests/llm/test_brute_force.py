@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 
 import pytest
 import xxhash
@@ -169,6 +170,24 @@ def test_anchors_by_hand(spark):
         assert got[i]["f"] == "".join(f"{h:08X}" for h in sorted({h for _, h in want})[: s.SIZE])
 
 
+def test_units_of_prose_cost_little(spark):
+    """The pattern of units stays within a few times of the plainest one."""
+    from pyspark.sql import functions as F
+
+    from folio.llm import syncmers as s
+
+    rng = random.Random(4)
+    docs = frame(spark, [(i, prose(rng, 4000).replace("e", "eé"[i % 2])) for i in range(240)], False).cache()
+
+    def took(pattern):
+        began = time.perf_counter()
+        docs.select(F.sum(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))).collect()
+        return time.perf_counter() - began
+
+    plain, units = (min(took(p) for _ in range(6)) for p in (r"[^ ]{1,12}", s.UNITS))
+    assert units < 1.7 * plain
+
+
 def test_an_insertion_moves_no_anchor_behind_it(spark):
     """In texts without blanks too: units depend on the characters where they are."""
     from pyspark.sql import functions as F
