@@ -46,6 +46,8 @@ BROADCAST_ROWS = 1_000_000
 HOT = 64
 #: Lines of a band outside its main component that are compared with the whole band in one key of a join.
 BLOCK = 256
+#: Bands of a line that are shuffled at a time.
+PORTION = 4
 #: Lines, each first in a band of it, that a line is held against before its bands are compared in whole.
 FIRSTS = 4
 #: Words of 64 bits into which the grams of a line are hashed, to rule out pairs before the exact comparison.
@@ -177,20 +179,28 @@ def shared_bands(signed: DataFrame) -> DataFrame:
     """band, lid, sample and first (the band's first line in an order of its own) of all rows of bands that several lines have.
 
     Windows by band; the bands that a sample of the lines shows to be hot are aggregated and joined, with the same result.
+    The bands are taken PORTION at a time, as a shuffle of all is the most that lies on disk at once.
     """
-    rows = signed.select("lid", "sample", F.explode("bands").alias("band"))
     sampled = signed.where(F.pmod("lid", F.lit(64)) == 0).select(F.explode("bands").alias("band"))
     hot = stash(sampled.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= HOT).select("band"), "hotbands")
-    cold = rows if (few := hot.isEmpty()) else rows.join(hot, "band", "left_anti")
+    few = hot.isEmpty()
     whole = Window.partitionBy("band")
     # lines stand in another order in each band, so that a line meets different ones in its bands
     place = F.col("lid").bitwiseXOR(F.col("band"))
-    out = cold.withColumns({"first": F.min(place).over(whole), "last": F.max(place).over(whole)}).where("first <> last").drop("last")
-    if not few:
-        rest = rows.join(hot, "band", "left_semi")
-        firsts = stash(rest.groupBy("band").agg(F.min(place).alias("first")), "hotfirsts")
-        out = out.unionByName(rest.join(firsts, "band").select(out.columns))
-    return out.select("band", "lid", "sample", F.col("first").bitwiseXOR(F.col("band")).alias("first"))
+    parts = []
+    for k in range(0, BANDS, PORTION):
+        rows = signed.select("lid", "sample", F.explode(F.slice("bands", k + 1, PORTION)).alias("band"))
+        cold = rows if few else rows.join(hot, "band", "left_anti")
+        out = cold.withColumns({"first": F.min(place).over(whole), "last": F.max(place).over(whole)}).where("first <> last").drop("last")
+        if not few:
+            rest = rows.join(hot, "band", "left_semi")
+            firsts = stash(rest.groupBy("band").agg(F.min(place).alias("first")), "hotfirsts")
+            out = out.unionByName(rest.join(firsts, "band").select(out.columns))
+        parts.append(stash(out.select("band", "lid", "sample", F.col("first").bitwiseXOR(F.col("band")).alias("first")), "sharedbands"))
+    shared = parts[0]
+    for x in parts[1:]:
+        shared = shared.unionByName(x)
+    return shared
 
 
 def _first_pairs(shared: DataFrame, signed: DataFrame) -> DataFrame:
@@ -302,7 +312,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text",
     with scratch() as keep:
         lines = _lines(docs, text, row_id)
         signed = stash(signatures(lines), "signatures")
-        shared = stash(shared_bands(signed), "sharedbands")
+        shared = shared_bands(signed)
         again = stash(_periodic_pairs(signed), "periodic")
         first = stash(_first_pairs(shared, signed).unionByName(again).distinct(), "pairs")
         ids = stash(_ends(first).withColumn("candidate", F.lit(True)), "candidates")
@@ -312,7 +322,6 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text",
         group = components(verified(first, placed.where("line is not null").select("lid", "line"), threshold)).withColumnRenamed("node", "lid")
         # a third one for the texts of the others
         more = apart(shared, signed, group, lines, threshold)
-        drop_stash(shared)
         if not more.isEmpty():
             group = components(group.select(F.col("lid").alias("u"), F.col("component").alias("v")).unionByName(more)).withColumnRenamed("node", "lid")
         dup = signed.where("own").select("lid", "id", "n").join(group, "lid", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "lid"))
