@@ -67,8 +67,8 @@ def table_row(*cells: Column) -> Column:
 
 
 def cut_data_uris(markdown: Column) -> Column:
-    """Embedded images cut down to their type."""
-    return F.regexp_replace(markdown, r"(data:[\w.+/-]*(?:;[\w.=+-]+)*);base64,[A-Za-z0-9+/=]+", "$1;base64...")
+    """Embedded images cut down to their type, empty ones too."""
+    return F.regexp_replace(markdown, r"(data:[\w.+/-]*(?:;[\w.=+-]+)*);base64,[A-Za-z0-9+/=]*", "$1;base64...")
 
 
 def preview(text: Column, n: int = 500) -> Column:
