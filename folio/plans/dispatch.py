@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from folio.plans.model import INFO_FIELDS, OUTPUT, Info, Options, Unsupported
 from folio.plans.registry import FailedConversion, Registry
 from folio.runtime import ship, spread
 
+#: Characters of Markdown after which rows are handed back.
+PART = 4 << 20
+
 
 def convert_row(doc_id: str | None, content: bytes | None, hint: dict | None, registry: Registry, options: Options) -> dict:
     """A row of the output; never fails."""
@@ -28,8 +33,18 @@ def convert_row(doc_id: str | None, content: bytes | None, hint: dict | None, re
         return out | {"status": "failed", "attempts": [vars(a) for a in e.attempts]}
     except (MemoryError, RecursionError) as e:
         return out | {"status": "failed", "attempts": [{"converter": None, "error_class": type(e).__name__, "message": str(e)}]}
-    clean = lambda s: s if s is None else s.encode("utf-8", "replace").decode()  # noqa: E731  lone surrogates can't be stored
-    return out | {"info": {f: clean(getattr(got.info, f)) for f in INFO_FIELDS}, "converter": got.converter, "markdown": clean(got.result.markdown), "title": clean(got.result.title), "degraded": got.result.degraded, "attempts": [vars(a) for a in got.attempts]}
+    return out | {"info": {f: _clean(getattr(got.info, f)) for f in INFO_FIELDS}, "converter": got.converter, "markdown": _clean(got.result.markdown), "title": _clean(got.result.title), "degraded": got.result.degraded, "attempts": [vars(a) for a in got.attempts]}
+
+
+def _clean(s: str | None) -> str | None:
+    """A string without lone surrogates, which can't be stored."""
+    if s is None or s.isascii():
+        return s
+    try:
+        s.encode()
+    except UnicodeEncodeError:
+        return s.encode("utf-8", "replace").decode()
+    return s
 
 
 def convert_documents(docs: DataFrame, options: Options = Options(), registry: Registry | None = None, keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008  frozen
@@ -45,18 +60,45 @@ def convert_documents(docs: DataFrame, options: Options = Options(), registry: R
     return _converted(docs, lambda doc_id, content, hint_: convert_row(doc_id, content, hint_, own, options), keep)
 
 
+def convert_made(rows: DataFrame, make: Callable, options: Options = Options(), registry: Registry | None = None, keep: T.StructType = T.StructType()) -> DataFrame:  # noqa: B008  frozen
+    """The output of documents that ``make`` writes from rows, in the Python pass that converts them.
+
+    ``make`` gets a task's frames and yields tuples of id, content, hint and the columns ``keep``, in this order. A
+    document is never handed to Spark, and a task holds one at a time. Rows are dealt by the caller.
+    """
+    ship(rows.sparkSession)
+    own = registry or Registry()
+    return rows.mapInPandas(_run(make, lambda doc_id, content, hint_: convert_row(doc_id, content, hint_, own, options), keep.names), T.StructType([*OUTPUT.fields, *keep.fields]))
+
+
 def _converted(docs: DataFrame, convert, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The output of ``convert`` (id, content and hint to a dict) for every row, in parts of 64."""
+    """The output of ``convert`` (id, content and hint to a dict) for every row."""
 
-    def run(frames):
+    def rows(frames):
         for pdf in frames:
-            for at in range(0, len(pdf), 64):  # results are handed back before they add up
-                part = pdf.iloc[at : at + 64]
-                rows = [convert(i, c, h) for i, c, h in zip(part["doc_id"], part["content"], part["hint"], strict=True)]
-                yield pd.DataFrame(rows, columns=OUTPUT.names).assign(**{c: part[c].to_numpy() for c in keep})
+            yield from zip(*[pdf[c] for c in ("doc_id", "content", "hint", *keep)], strict=True)
 
     lean = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "hint", *keep)
-    return spread(lean).mapInPandas(run, T.StructType([*OUTPUT.fields, *[lean.schema[c] for c in keep]]))
+    return spread(lean).mapInPandas(_run(rows, convert, list(keep)), T.StructType([*OUTPUT.fields, *[lean.schema[c] for c in keep]]))
+
+
+def _run(make, convert, keep: list[str]):
+    """A task's frames to frames of the output in parts of 64 rows or PART characters, which are handed back before they add up."""
+
+    def run(frames):
+        part, size = [], 0
+        for doc_id, content, hint_, *rest in make(frames):
+            row = convert(doc_id, content, hint_)
+            del content
+            size += len(row["markdown"] or "")
+            part.append(row | dict(zip(keep, rest, strict=True)))
+            if len(part) == 64 or size > PART:
+                yield pd.DataFrame(part, columns=[*OUTPUT.names, *keep])
+                part, size = [], 0
+        if part:
+            yield pd.DataFrame(part, columns=[*OUTPUT.names, *keep])
+
+    return run
 
 
 def needs_fallback() -> Column:

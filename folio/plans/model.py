@@ -41,6 +41,8 @@ class Options:
     main_content: bool = False
     #: fail on pages that are too deep instead of falling back to their text
     strict: bool = False
+    #: read archives of the caller's own whole, whatever the number and the size of their files; others have budgets
+    whole_archives: bool = False
     hooks: Any = None
 
 

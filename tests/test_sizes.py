@@ -22,3 +22,12 @@ def test_cut_data_uris_of_odd_texts(spark, tmp_path):
     texts = ["", "plain", None, "see data:image/png;base64,AAAA here", "x" * 100_000, "data:image/png;base64,"]
     got, want = against_sql(spark, tmp_path, "cut_data_uris", "documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     assert got == want
+
+
+def parts(n: int, brands: int = 1) -> pd.DataFrame:
+    return pd.DataFrame({"p_partkey": range(n), "p_name": [f"part {k % 97}" for k in range(n)], "p_brand": [f"Brand#{k % brands}" for k in range(n)], "p_type": "LARGE", "p_size": [1 + k % 50 for k in range(n)]})
+
+
+def test_convert_part_archives_of_many_files(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "convert_part_archives", "part", parts(5000))
+    assert got == want
