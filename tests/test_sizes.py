@@ -31,3 +31,8 @@ def parts(n: int, brands: int = 1) -> pd.DataFrame:
 def test_convert_part_archives_of_many_files(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "convert_part_archives", "part", parts(5000))
     assert got == want
+
+
+def test_expand_part_archives_of_many_files(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "expand_part_archives", "part", parts(5000))
+    assert got == want
