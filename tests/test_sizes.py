@@ -42,3 +42,11 @@ def test_mail_is_made_and_converted_in_one_pass(spark, tmp_path):
     parts(3).to_parquet(tmp_path / "part.parquet")
     plan = QUERIES["convert_mail"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_encodings_of_fonts_are_read_once():
+    from folio.converters import pdf_reader as reader
+
+    file = type("File", (), {"get": staticmethod(lambda x: x)})()
+    assert reader.Font(file, {"Encoding": "WinAnsiEncoding"}).map == reader._plain("cp1252") and reader._plain("cp1252") is reader._plain("cp1252")
+    assert [v for v, _ in reader.parse(b" /A#42 % note\n <4 1> [1 (x)] true >> ) 2 0 R")] == ["AB", b"A", [1, b"x"], True, reader.Ref(2)]
