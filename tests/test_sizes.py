@@ -50,3 +50,9 @@ def test_encodings_of_fonts_are_read_once():
     file = type("File", (), {"get": staticmethod(lambda x: x)})()
     assert reader.Font(file, {"Encoding": "WinAnsiEncoding"}).map == reader._plain("cp1252") and reader._plain("cp1252") is reader._plain("cp1252")
     assert [v for v, _ in reader.parse(b" /A#42 % note\n <4 1> [1 (x)] true >> ) 2 0 R")] == ["AB", b"A", [1, b"x"], True, reader.Ref(2)]
+
+
+def test_padding_of_old_workbooks_is_passed_over():
+    from folio.converters.ole import _records
+
+    assert [(i, kind) for i, kind, _ in _records(b"\x0a\0\0\0" + b"\0" * 4000 + b"\x85\0\1\0x\0\0")] == [(0, 10), (4, 0), (4004, 0x85)]
