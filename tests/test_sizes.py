@@ -56,3 +56,23 @@ def test_padding_of_old_workbooks_is_passed_over():
     from folio.converters.ole import _records
 
     assert [(i, kind) for i, kind, _ in _records(b"\x0a\0\0\0" + b"\0" * 4000 + b"\x85\0\1\0x\0\0")] == [(0, 10), (4, 0), (4004, 0x85)]
+
+
+def test_normalise_by_pieces(monkeypatch):
+    import tracemalloc
+
+    from folio.plans import registry
+
+    text = "a \r\n\n\n\n b\t\n" * 50 + " \n\n\n"
+    whole = registry.normalise(text)
+    for n in (1, 2, 3, 7, len(text)):
+        monkeypatch.setattr(registry, "PIECE", n)
+        assert registry.normalise(text) == whole
+    assert registry.normalise("") == "" and registry.normalise("x") == "x"
+    monkeypatch.undo()
+    text = "a b\n" * 2_000_000
+    tracemalloc.start()
+    registry.normalise(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)
