@@ -76,3 +76,11 @@ def test_normalise_by_pieces(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 * len(text)
+
+
+def test_page_archives_are_whole_and_made_in_one_pass(spark, tmp_path):
+    pd.DataFrame({"page_id": [16 * k for k in range(4200)], "url": "u", "html": "<p>x</p>"}).to_parquet(tmp_path / "pages.parquet")
+    found = QUERIES["expand_archives"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("InPandas") == 1
+    (row,) = found.collect()
+    assert row["markdown"].count("## File: ") == 4200 and row["markdown"].index("p0.html") < row["markdown"].index("p16.html")
